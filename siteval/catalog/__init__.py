@@ -29,4 +29,4 @@ def load() -> None:
         import_module(f"siteval.catalog.{module}")
 
 
-MODULES = ["rows", "metric"]
+MODULES = ["rows", "metric", "pair"]

@@ -87,7 +87,13 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _site_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("site"), F.lit(m).alias("mk")) for k, s, m in _SITE_ROWS])
     orders = table(spark, sf_dir, "orders").withColumn("_s", F.explode(rows)).selectExpr("*", "_s.k", "_s.site", "_s.mk")
-    return _select(orders.selectExpr(*[f"{e} AS {c}" for c, e in _BASE]), _SITES)
+    return _sealed(_select(orders.selectExpr(*[f"{e} AS {c}" for c, e in _BASE]), _SITES))
+
+
+def _sealed(df: DataFrame) -> DataFrame:
+    """Emit the columns from a generator, so that filters and projections on derived columns refer to their values
+    instead of being rewritten into copies of the whole derivation. A stored site table needs no such step."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +107,11 @@ def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         'wound_px', {v}_wound, 'tq_px', tq_px,
         'limb', named_struct('amodal_px', amodal, 'vis_over_amodal', vom, 'term_peak', q0,
                              'p_cause', array(q0, q1, q2, q3, CAST(px % 10 AS DOUBLE)/10)))"""
-    return df.selectExpr(
+    return _sealed(df.selectExpr(
         *SITE_COLUMNS, "array(p0,p1,p2,p3) AS p", "array(q0,q1,q2,q3) AS q", "cause", "has_side", "has_true",
         record.format(v="r") + " AS raw",
         "CASE WHEN has_side THEN " + record.format(v="s") + " END AS raw_side",
-        "CASE WHEN has_true THEN " + record.format(v="t") + " END AS raw_true")
+        "CASE WHEN has_true THEN " + record.format(v="t") + " END AS raw_true"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from siteval.functions import probs as P
 from siteval.functions.labels import mirror_site
 from siteval.functions.stats import safe_ratio, sign_p
 from siteval.operators.metrics import count_if, share_if
-from siteval.operators.quantiles import exact_quantiles
+from siteval.operators.quantiles import exact_quantiles, with_scalars
 from siteval.runtime import total
 
 
@@ -123,7 +123,7 @@ def flip_stability(orig: DataFrame, flip: DataFrame, on=("scene", "site"), y: st
                       share_if(wrong, differ).alias("error_when_disagree"), share_if(wrong, ~differ).alias("error_when_agree"),
                       count_if(wrong & ~mean_wrong).alias("fixed"), count_if(~wrong & mean_wrong).alias("broken"))
     quant = exact_quantiles(rows, F.col("d"), [0.5, 0.9, 0.99], (), ["p50", "p90", "p99"])
-    return counts.select("*", *[quant.select(c).scalar().alias(c) for c in ("p50", "p90", "p99")])
+    return with_scalars(counts, quant, ("p50", "p90", "p99"))
 
 
 def side_fixable(df: DataFrame, y: str = "y", pred: str = "pred", side: str = "pred_side", mean: str = "pred_mean") -> DataFrame:

@@ -35,8 +35,8 @@ def exact_quantiles(df: DataFrame, value: Column, qs, by=(), names=None) -> Data
         rows = base.join(brackets, on)
         b = F.col("_b")
     else:
-        b = base.agg(sketch).scalar()
-        rows = base
+        rows = base.select("_v", base.agg(sketch).scalar().alias("_b"))
+        b = F.col("_b")
     pairs = [(b[at[max(0.0, q - _MARGIN)]], b[at[min(1.0, q + _MARGIN)]]) for q in qs]
     inside, below = F.lit(False), []
     for lo, hi in pairs:
@@ -69,3 +69,10 @@ def exact_quantiles(df: DataFrame, value: Column, qs, by=(), names=None) -> Data
 
 def exact_median(df: DataFrame, value: Column, by=(), name: str = "median") -> DataFrame:
     return exact_quantiles(df, value, [0.5], by, [name])
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame, names=None) -> DataFrame:
+    """``df`` with the columns of a one-row table added as constants; one subquery serves them all."""
+    names = names or one_row.columns
+    row = one_row.select(F.struct(*names).alias("_r")).scalar()
+    return df.withColumn("_r", row).select(*df.columns, *[F.col("_r")[n].alias(n) for n in names])

@@ -9,13 +9,15 @@ from siteval.constants import AMPUTATION, CLASSES, ERROR_TAGS, NO_INJURY, NOT_TE
 from siteval.functions.stats import safe_ratio
 from siteval.operators.metrics import count_if, share_if
 from siteval.operators.pairing import mirror_pairs
-from siteval.operators.quantiles import exact_median, exact_quantiles
+from siteval.operators.quantiles import exact_median, exact_quantiles, with_scalars
 
 
-def _median(df: DataFrame, value: Column, cond: Column | None = None) -> Column:
-    """Median over the whole table as a scalar column."""
-    v = value if cond is None else F.when(cond, value)
-    return exact_median(df, v).select("median").scalar()
+def _medians(out: DataFrame, df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``out`` with medians over the whole of ``df`` added, all from one pass over stacked values."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), v.cast("double").alias("v")) for n, v in values.items()]))
+    rows = df.select(stacked.alias("_s")).select("_s.stat", "_s.v")
+    found = exact_median(rows, F.col("v"), ["stat"])
+    return with_scalars(out, found.agg(*[F.max(F.when(F.col("stat") == n, F.col("median"))).alias(n) for n in values]))
 
 
 def label_audit(df: DataFrame, by=()) -> DataFrame:
@@ -38,7 +40,7 @@ def wound_detail(df: DataFrame) -> DataFrame:
         *[count_if(miss & (p == i)).alias(f"called_{c}") for i, c in enumerate(CLASSES) if i != WOUND],
         count_if(false).alias("false"), count_if(false & (true == 0)).alias("false_true_px_0"), count_if(false & (F.col("raw.tq_px") > 0)).alias("false_with_tq"),
         count_if(false & (y == AMPUTATION)).alias("false_true_amp"))
-    return out.select("*", _median(df, true, miss).alias("missed_true_px_median"), _median(df, seen, false).alias("false_pred_px_median"))
+    return _medians(out, df, {"missed_true_px_median": F.when(miss, true), "false_pred_px_median": F.when(false, seen)})
 
 
 def amputation_detail(df: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def amputation_detail(df: DataFrame) -> DataFrame:
         *[count_if(miss & (p == i)).alias(f"called_{c}") for i, c in enumerate(CLASSES) if i != AMPUTATION],
         count_if(false).alias("false"), count_if(false & (seen > 0)).alias("false_pred_px"), count_if(false & (true > 0)).alias("false_true_px"),
         F.avg(F.when(false, blocked)).alias("false_occ_edge_share"))
-    return out.select("*", _median(df, (seen + 1) / (true + 1), miss).alias("missed_ratio_median"), _median(df, F.col("visible_fraction"), false).alias("false_vf_median"))
+    return _medians(out, df, {"missed_ratio_median": F.when(miss, (seen + 1) / (true + 1)), "false_vf_median": F.when(false, F.col("visible_fraction"))})
 
 
 def raw_disagreement(df: DataFrame, pred: str = "raw", true: str = "raw_true", min_vis: int = 30) -> DataFrame:
@@ -69,7 +71,7 @@ def raw_disagreement(df: DataFrame, pred: str = "raw", true: str = "raw_true", m
                  count_if((a["vis_px"] < min_vis) & (b["vis_px"] >= min_vis)).alias("vis_lost"), count_if((b["vis_px"] < min_vis) & (a["vis_px"] >= min_vis)).alias("vis_gained"),
                  flips("stump_px").alias("stump_disagree"), flips("ext_px").alias("ext_disagree"), flips("wound_px", WOUND_MIN_PX - 1).alias("wound_disagree"),
                  count_if(a["p_end"].isNull() & b["p_end"].isNotNull()).alias("p_end_lost"))
-    return out.select("*", _median(df, ratio).alias("vis_ratio_median"))
+    return _medians(out, df, {"vis_ratio_median": ratio})
 
 
 def population_quartiles(df: DataFrame, stats: dict[str, Column], by=("set",)) -> DataFrame:
@@ -99,7 +101,7 @@ def timing_summary(df: DataFrame, seconds: str = "s", by=(), budget_s: float = 1
     """Mean, median, p95 and largest time, and how many images a time budget covers."""
     base = df.groupBy(*by).agg(F.count(F.lit(1)).alias("images"), F.avg(seconds).alias("mean"), F.max(seconds).alias("max"))
     quant = exact_quantiles(df, F.col(seconds), [0.5, 0.95], by, ["p50", "p95"]).drop("n")
-    out = base.join(quant, list(by)) if by else base.select("*", *[quant.select(c).scalar().alias(c) for c in ("p50", "p95")])
+    out = base.join(quant, list(by)) if by else with_scalars(base, quant, ("p50", "p95"))
     return out.withColumn("capacity", F.lit(float(budget_s)) / F.col("mean"))
 
 
