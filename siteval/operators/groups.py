@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteval.functions.hashing import hash52, key_text
 from siteval.operators.ordering import hash_rank
-from siteval.runtime import checkpoint, total
+from siteval.runtime import case, checkpoint, total
 
 #: signatures per block of a large bucket
 _BLOCK = 2048
@@ -23,11 +23,16 @@ def signature64(df: DataFrame, key: str, text: str) -> DataFrame:
     tokens = df.select(key, F.explode(F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")).alias("_t"))
     counts = tokens.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n")).withColumn("_m", F.md5("_t"))
     halves = counts.select(key, "_n", *[F.conv(F.substring("_m", 1 + 8 * h, 8), 16, 10).cast("long").alias(f"_w{h}") for h in (0, 1)])
-    sums = [F.sum(F.when(F.shiftright(F.col(f"_w{h}"), b).bitwiseAND(F.lit(1).cast("long")) == 1, F.col("_n")).otherwise(-F.col("_n"))).alias(f"_s{h}_{b}")
-            for h in (0, 1) for b in range(32)]
-    wide = halves.groupBy(key).agg(*sums)
-    words = [total([F.when(F.col(f"_s{h}_{b}") > 0, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(32)]) for h in (0, 1)]
-    signature = F.shiftleft(words[0], 32).bitwiseOR(words[1])
+    # Two counters per sum: bit b of both halves, 32 bits apart (a text holds fewer than 2^31 tokens).
+    one = F.lit(1).cast("long")
+    lanes = [F.sum((F.shiftleft(F.shiftright("_w0", b).bitwiseAND(one), 32) + F.shiftright("_w1", b).bitwiseAND(one)) * F.col("_n")).alias(f"_s{b}") for b in range(32)]
+    wide = halves.groupBy(key).agg(F.sum("_n").alias("_all"), *lanes)
+    low = F.lit(0xFFFFFFFF)
+
+    def word(count):
+        return total([F.when(count(F.col(f"_s{b}")) * 2 > F.col("_all"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(32)])
+
+    signature = F.shiftleft(word(lambda s: F.shiftrightunsigned(s, 32)), 32).bitwiseOR(word(lambda s: s.bitwiseAND(low)))
     # A text without tokens has no signature bits set.
     return df.select(key).join(wide.select(key, signature.alias("sig")), key, "left").select(key, F.coalesce("sig", F.lit(0).cast("long")).alias("sig"))
 
@@ -42,29 +47,27 @@ def _band_masks(bands: int) -> list[int]:
 def _band_keys(sigs: DataFrame, d: int, bands: int) -> DataFrame:
     """Every signature under each set of bands that a pair at distance <= d must share (pigeonhole): (sig, combo, band).
 
-    ``combo`` is the set of bands as bits, ``band`` the signature masked to them."""
+    ``combo`` is the set of bands as bits, ``band`` the signature masked to them. The masks are one constant array."""
     if bands <= d:
         raise ValueError("bands must exceed the distance")
     masks = _band_masks(bands)
-    keys = []
+    rows = []
     for c in combinations(range(bands), bands - d):
         mask = 0
         for b in c:
             mask |= masks[b]
-        keys.append(F.struct(F.lit(sum(1 << b for b in c)).alias("combo"), F.col("sig").bitwiseAND(F.lit(mask).cast("long")).alias("band")))
-    return sigs.select("sig", F.explode(F.array(*keys)).alias("_k")).select("sig", "_k.combo", "_k.band")
+        rows.append(f"named_struct('combo', {sum(1 << b for b in c)}, 'mask', {mask}L)")
+    keyed = sigs.select("sig", F.expr(f"inline(array({', '.join(rows)}))"))
+    return keyed.select("sig", "combo", F.col("sig").bitwiseAND(F.col("mask")).alias("band"))
 
 
-def _first_shared(a: Column, b: Column, d: int, bands: int) -> Column:
-    """The lowest bands a pair shares, as a combo: lets exactly one bucket report the pair."""
+def _reports(a: Column, b: Column, combo: Column, bands: int) -> Column:
+    """True in exactly one of the buckets a pair shares: the one whose combo holds the lowest shared bands, that is, no
+    shared band below the highest band of the combo lies outside it."""
     x = a.bitwiseXOR(b)
-    rest = total([F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(_band_masks(bands))])
-    combo = F.lit(0)
-    for _ in range(bands - d):
-        lowest = rest.bitwiseAND(-rest)
-        combo = combo.bitwiseOR(lowest)
-        rest = rest.bitwiseXOR(lowest)
-    return combo
+    shared = total([F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(_band_masks(bands))])
+    below = case([(combo >= (1 << i), (2 << i) - 1) for i in reversed(range(bands))])
+    return shared.bitwiseAND(below) == combo
 
 
 def hamming_pairs(sigs: DataFrame, d: int = 10, bands: int | None = None, sig: str = "sig") -> DataFrame:
@@ -80,7 +83,7 @@ def hamming_pairs(sigs: DataFrame, d: int = 10, bands: int | None = None, sig: s
     b = left.select("combo", "band", F.col("sig").alias("sig_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     near = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b")))
     j = a.join(b, ["combo", "band", "block"]).filter((F.col("sig_a") < F.col("sig_b")) & (near <= d))
-    j = j.withColumn("_shared", _first_shared(F.col("sig_a"), F.col("sig_b"), d, bands)).filter("combo = _shared")
+    j = j.filter(_reports(F.col("sig_a"), F.col("sig_b"), F.col("combo"), bands))
     return j.select("sig_a", "sig_b", near.alias("distance"))
 
 

@@ -55,9 +55,9 @@ def row_index(df: DataFrame, order: str, out: str = "idx", by=()) -> DataFrame:
 def hash_rank(df: DataFrame, hashed: Column, out: str = "rank", by=(), digits: int = 2) -> DataFrame:
     """1-based rank in the order of a hex hash: offsets per hash prefix plus ranks inside a prefix."""
     h = df.withColumn("_h", hashed).withColumn("_bucket", F.substring("_h", 1, digits))
-    j = _with_offsets(h, "_bucket", {"n": F.lit(1).cast("long")}, by)
+    j = _with_offsets(h, "_bucket", {"_cnt": F.lit(1).cast("long")}, by)
     inside = W.partitionBy(*by, "_bucket").orderBy("_h")
-    return j.select(*df.columns, (F.col("_before_n") + F.row_number().over(inside)).alias(out))
+    return j.select(*df.columns, (F.col("_before__cnt") + F.row_number().over(inside)).alias(out))
 
 
 def last_per_key(df: DataFrame, keys, order) -> DataFrame:
