@@ -71,9 +71,11 @@ def _z(x: Column, mean, scale) -> Column:
 
 
 def fit_layer(df: DataFrame, C: float, x: str = "x", y: str = "y", weight: str | None = None, balanced: bool = False,
-              base: Layer | None = None, n: int | None = None, max_iter: int = 200, tol: float = 1e-8, k: int = 4) -> Layer:
+              base: Layer | None = None, n: int | None = None, max_iter: int = 100, tol: float = 1e-6, k: int = 4) -> Layer:
     """Multinomial logistic regression minimising C * sum(w * loss) + |W|^2 / 2, intercepts free.
 
+    With k = 2 the binary form is fitted: one coefficient vector under the penalty.
+
     Spark minimises the mean loss plus lambda/2 |W|^2, so lambda = 1 / (C * sum(w)). With ``base``, the layer is a
     recalibration on the base layer's centred logits, which are used unscaled. Sample weights steer the loss only; the
     standardisation counts every row once."""
@@ -99,8 +101,10 @@ def fit_layer(df: DataFrame, C: float, x: str = "x", y: str = "y", weight: str |
     # Present classes are numbered without gaps for the solver.
     code = case([(F.col(y) == c, float(i)) for i, c in enumerate(present)])
     train = data.select(array_to_vector(_z(F.col(x), mean, scale)).alias("features"), code.alias("label"), w.cast("double").alias("w"))
-    lr = LogisticRegression(family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1.0 / (C * sum_w), weightCol="w", maxIter=max_iter, tol=tol)
+    lr = LogisticRegression(family="binomial" if k == 2 else "multinomial", standardization=False, elasticNetParam=0.0, regParam=1.0 / (C * sum_w), weightCol="w", maxIter=max_iter, tol=tol)
     m = lr.fit(train)
+    if k == 2:
+        return Layer(mean, scale, [[0.0] * n, [float(v) for v in m.coefficients.toArray()]], [0.0, float(m.intercept)], C, base)
     W, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
     coef, intercept = [[0.0] * n for _ in range(k)], [-math.inf] * k
     for i, c in enumerate(present):
