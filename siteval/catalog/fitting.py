@@ -14,6 +14,7 @@ from siteval.operators import layer as M
 from siteval.operators import sites as O
 from siteval.operators import studies as S
 from siteval.operators.metrics import cutoff_agreement
+from siteval.operators.multifit import Fit
 from siteval.plans import adaptation, batch, scorer
 
 
@@ -98,9 +99,7 @@ def _(spark, sf):
     real, source = real_and_source(spark, sf)
     src = source.select("x", "y").persist()
     base = _base(src)
-    d = M.with_folds(real, "grp").persist()
-    best, scores = M.select_arm(d, M.arms(base, src, 19))
-    d.unpersist()
+    best, scores, _ = M.select_arm(M.with_folds(real, "grp"), base, M.arms(base), source=src)
     src.unpersist()
     return spark.createDataFrame([(n, float(a), n == best) for n, a in scores.items()], "arm string, acc double, picked boolean")
 
@@ -127,9 +126,8 @@ def _(spark, sf):
     real, source = real_and_source(spark, sf)
     base = _base(source)
     d = M.with_folds(real, "grp").persist()
-    recal = {f"D{c:g}": (lambda x, c=c: M.fit_layer(x, c, base=base)) for c in (0.01, 0.1)}
-    layers = M.cross_validate(d, recal)
-    rows = M.predict_by_fold(d, layers["D0.1"])
+    layers = M.cross_validate(d, {"D": Fit(0.1, base=base)})["D"]
+    rows = M.predict_by_fold(d, layers)
     return adaptation.report(rows, 200, key="scene")
 
 
@@ -177,7 +175,7 @@ def _(spark, sf):
 def _(spark, sf):
     real, source = real_and_source(spark, sf)
     base = _base(source)
-    cands = {"A_synthetic": lambda d: base, "B_real_C0.1": lambda d: M.fit_layer(d, 0.1, n=19), "D_recal_C0.1": lambda d: M.fit_layer(d, 0.1, base=base)}
+    cands = {"A_synthetic": None, "B_real_C0.1": Fit(0.1), "D_recal_C0.1": Fit(0.1, base=base)}
     return S.learning_curve(real, base, None, sizes=(30, 60), seeds=2, candidates=cands)
 
 

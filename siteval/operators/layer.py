@@ -3,46 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteval.constants import ARM_POOL_W, ARM_REAL_C, ARM_RECAL_C, C_GRID, CLASSES, COST, FEATURE_GROUPS, SITES
+from siteval.constants import ARM_POOL_W, ARM_REAL_C, ARM_RECAL_C, C_GRID, CLASSES, FEATURE_GROUPS, SITES
 from siteval.functions import probs as P
 from siteval.functions.features import swap_group
+from siteval.operators.decision import Layer
 from siteval.operators.groups import assign_folds
 from siteval.operators.metrics import share_if
+from siteval.operators.multifit import Fit, fit_many, holdout
 from siteval.runtime import case, small, total
 
 #: fits submitted to the cluster at a time
 PARALLEL = 8
 
 
-@dataclass
-class Layer:
-    """Fitted constants: standardisation, coefficients and intercepts. A class absent from the data has intercept -inf."""
-
-    mean: list[float]
-    scale: list[float]
-    coef: list[list[float]]
-    intercept: list[float]
-    C: float
-    base: "Layer | None" = None
-    extra: dict = field(default_factory=dict)
-
-    def input(self, x: Column) -> Column:
-        """What the layer's own coefficients see: the features, or the centred logits of the base layer."""
-        return P.centred_logits(x, self.base) if self.base else x
-
-    def proba(self, x: Column) -> Column:
-        return P.softmax_linear(self.input(x), self)
-
-
 def moments(df: DataFrame, x: str, n: int, weight: str | None = None) -> tuple[list[float], list[float]]:
     """Population mean and standard deviation per feature; a constant column gets scale 1.
 
@@ -142,49 +122,59 @@ def predict_by_fold(df: DataFrame, layers: dict[int, Layer], fold: str = "fold",
     return j.drop("_f", "_m", "_s", "_w", "_b", "_z", "_l", "_x")
 
 
-def cross_validate(df: DataFrame, fits: dict[str, Callable[[DataFrame], Layer]], k: int = 5, fold: str = "fold") -> dict[str, dict[int, Layer]]:
-    """Every named fit on every training part, several at a time: name -> fold -> layer. ``df`` should be persisted."""
-    jobs = {(n, f): (lambda fit=fit, f=f: fit(df.filter(F.col(fold) != f))) for n, fit in fits.items() for f in range(k)}
-    found = run_parallel(jobs)
-    return {n: {f: found[n, f] for f in range(k)} for n in fits}
+def prepared(df: DataFrame, x: str = "x", y: str = "y", source: DataFrame | None = None, flip: str | None = None) -> DataFrame:
+    """The table the many-fit passes read: x, y, fold, src (and mirrored features). Source rows have fold -1.
 
+    Small tables are spread over a few tasks, large ones keep their partitions."""
+    cols = [F.col(x).alias("x"), F.col(y).cast("int").alias("y"), F.col("fold").cast("int").alias("fold"), F.lit(False).alias("src")]
+    cols += [F.col(flip).alias("x_flip")] if flip else []
+    d = df.select(*cols)
+    if source is not None:
+        d = d.unionByName(source.select(F.col("x"), F.col("y").cast("int").alias("y"), F.lit(-1).alias("fold"), F.lit(True).alias("src")), allowMissingColumns=True)
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
+def cross_validate(df: DataFrame, fits: dict[str, Fit], k: int = 5, x: str = "x", y: str = "y", n: int | None = None, classes: int = 4) -> dict[str, dict[int, Layer]]:
+    """Every named fit on every training part, all in the same passes: name -> fold -> layer."""
+    n = n or width(df, x)
+    data = prepared(df, x, y).persist()
+    try:
+        found = fit_many(data, {(name, f): fit.leaving_out(f) for name, fit in fits.items() for f in range(k)}, n, classes)
+    finally:
+        data.unpersist()
+    return {name: {f: found[name, f] for f in range(k)} for name in fits}
 
-def score_many(df: DataFrame, layers: dict[str, dict[int, Layer]], y: str = "y", x: str = "x", flip: str | None = None, fold: str = "fold", by_cost: bool = False) -> dict[str, float]:
-    """Mean over folds of held-out accuracy (or minus the mean cost) of many candidates, from one job over the table.
 
-    With ``flip``, probabilities are averaged with those on the mirrored features."""
-    cols = []
-    d = df
-    for i, (_, per_fold) in enumerate(layers.items()):
-        d = predict_by_fold(d, per_fold, fold, x, f"_p{i}")
-        if flip:
-            d = predict_by_fold(d, per_fold, fold, flip, f"_q{i}").withColumn(f"_p{i}", P.mean_probs(F.col(f"_p{i}"), F.col(f"_q{i}")))
-        call = P.argmax(F.col(f"_p{i}"))
-        if by_cost:
-            value = -case([((F.col(y) == a) & (call == b), float(COST[a][b])) for a in range(4) for b in range(4)])
+def _fold_scores(found: dict, names, k: int, by: str) -> dict[str, float]:
+    """Mean fold accuracy per candidate, or minus the mean cost over all rows."""
+    out = {}
+    for name in names:
+        parts = [found[name, f] for f in range(k) if found[name, f][0]]
+        if by == "cost":
+            out[name] = -sum(c for _, _, c in parts) / sum(r for r, _, _ in parts)
         else:
-            value = (call == F.col(y)).cast("double")
-        cols.append(F.avg(value).alias(f"v{i}"))
-    rows = d.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), *cols).collect()
-    if by_cost:
-        n = sum(r["n"] for r in rows)
-        return {name: sum(r[f"v{i}"] * r["n"] for r in rows) / n for i, name in enumerate(layers)}
-    return {name: sum(r[f"v{i}"] for r in rows) / len(rows) for i, name in enumerate(layers)}
+            out[name] = sum(h / r for r, h, _ in parts) / len(parts)
+    return out
 
 
 def fit_C(df: DataFrame, grid=C_GRID, k: int = 5, balanced: bool = False, x: str = "x", y: str = "y", n: int | None = None) -> tuple[float, float]:
-    """First C with the best mean fold accuracy, and that accuracy. ``df`` has folds and should be persisted."""
+    """First C with the best mean fold accuracy, and that accuracy. ``df`` has folds."""
     n = n or width(df, x)
-    fits = {str(C): (lambda d, C=C: fit_layer(d, C, x, y, balanced=balanced, n=n)) for C in grid}
-    scores = score_many(df, cross_validate(df, fits, k), y, x)
-    best = max(grid, key=lambda C: (scores[str(C)], -grid.index(C)))
-    return best, scores[str(best)]
+    data = prepared(df, x, y).persist()
+    try:
+        layers = fit_many(data, {(C, f): Fit(C, f, balanced=balanced) for C in grid for f in range(k)}, n)
+        scores = _fold_scores(holdout(data, {(C, f): (f, m) for (C, f), m in layers.items()}, n), grid, k, "acc")
+    finally:
+        data.unpersist()
+    best = max(grid, key=lambda C: (scores[C], -list(grid).index(C)))
+    return best, scores[best]
 
 
 def oof_predict(df: DataFrame, C: float, evaluation: DataFrame | None = None, k: int = 5, x: str = "x", y: str = "y", balanced: bool = False) -> tuple[DataFrame, dict[int, Layer]]:
     """Out-of-fold probabilities of the development rows, and those of the evaluation rows from a fit on all of them (fold -1)."""
     n = width(df, x)
-    layers = cross_validate(df, {"m": lambda d: fit_layer(d, C, x, y, balanced=balanced, n=n)}, k)["m"]
+    layers = cross_validate(df, {"m": Fit(C, balanced=balanced)}, k, x, y, n)["m"]
     rows = df
     if evaluation is not None:
         layers[-1] = fit_layer(df, C, x, y, balanced=balanced, n=n)
@@ -222,61 +212,52 @@ def prior_layer(df: DataFrame, y: str = "y", n: int = 1, k: int = 4) -> Layer:
     return Layer([0.0] * n, [1.0] * n, [[0.0] * n for _ in range(k)], [math.log(counts[c] / s) if counts.get(c) else -math.inf for c in range(k)], 0.0)
 
 
-def arms(base: Layer, source: DataFrame | None, n: int) -> dict[str, Callable[[DataFrame], Layer]]:
-    """Candidate layers by name: the base as it is (A), refits on real rows (B), pooled refits (C), recalibrations (D)."""
-    out: dict[str, Callable[[DataFrame], Layer]] = {"A_synthetic": lambda d: base}
-
-    def guarded(fit):
-        def run(d):
-            return base if d.select("y").distinct().limit(2).count() < 2 else fit(d)
-        return run
-
-    for C in ARM_REAL_C:
-        out[f"B_real_C{C:g}"] = guarded(lambda d, C=C: fit_layer(d, C, n=n))
-    if source is not None:
-        src = source.select("x", "y")
-        for w in ARM_POOL_W:
-            out[f"C_pooled_w{int(w)}"] = lambda d, w=w: fit_layer(pool(src, d.select("x", "y"), w), base.C, weight="w", n=n)
-    for C in ARM_RECAL_C:
-        out[f"D_recal_C{C:g}"] = guarded(lambda d, C=C: fit_layer(d, C, base=base))
+def arms(base: Layer, pooled: bool = True) -> dict[str, Fit | None]:
+    """Candidate layers by name: the base as it is (A, no fit), refits on real rows (B), pooled refits (C), recalibrations (D)."""
+    out: dict[str, Fit | None] = {"A_synthetic": None}
+    out.update({f"B_real_C{C:g}": Fit(C) for C in ARM_REAL_C})
+    if pooled:
+        out.update({f"C_pooled_w{int(w)}": Fit(base.C, source_w=1.0, real_w=w) for w in ARM_POOL_W})
+    out.update({f"D_recal_C{C:g}": Fit(C, base=base) for C in ARM_RECAL_C})
     return out
 
 
-def select_arm(df: DataFrame, candidates: dict, k: int = 5, by: str = "acc", min_gain: float = 0.0, flip: str | None = None, fold: str = "fold") -> tuple[str, dict[str, float]]:
-    """Inner grouped cross-validation picks an arm; the base arm wins ties and small gains."""
-    layers = cross_validate(df, candidates, k, fold)
-    scores = {}
-    # A recalibrated arm and a plain one read different inputs, but all are scored over the same table in one job each kind.
-    for kind in (True, False):
-        part = {n: m for n, m in layers.items() if (next(iter(m.values())).base is not None) == kind}
-        if part:
-            scores.update(score_many(df, part, flip=flip, fold=fold, by_cost=by == "cost"))
+def select_arm(df: DataFrame, base: Layer, candidates: dict[str, Fit | None], k: int = 5, by: str = "acc", min_gain: float = 0.0, source: DataFrame | None = None, flip: str | None = None) -> tuple[str, dict[str, float], Layer]:
+    """Inner grouped cross-validation picks an arm; the base arm wins ties and small gains. Returns the pick, the scores and
+    the picked layer fitted on all rows. df: x, y, fold.
+
+    A training part with a single class keeps the base layer."""
+    n = len(base.mean)
+    data = prepared(df, source=source, flip=flip).persist()
+    try:
+        classes = {r[0]: r[1] for r in data.filter("not src").groupBy("fold").agg(F.collect_set("y")).collect()}
+        mixed = {f: len({c for g, cs in classes.items() if g != f for c in cs}) > 1 for f in [*range(k), None]}
+        jobs = {(name, f): fit.leaving_out(f) for name, fit in candidates.items() if fit for f in [*range(k), None] if mixed[f] or fit.source_w}
+        layers = fit_many(data, jobs, n) if jobs else {}
+        chosen = {(name, f): (f, layers.get((name, f), base)) for name in candidates for f in range(k)}
+        scores = _fold_scores(holdout(data, chosen, n, flip="x_flip" if flip else None), candidates, k, by)
+    finally:
+        data.unpersist()
     best = max(scores, key=lambda a: (round(scores[a], 4), a == "A_synthetic"))
     if best != "A_synthetic" and scores[best] - scores["A_synthetic"] < min_gain:
         best = "A_synthetic"
-    return best, scores
+    return best, scores, layers.get((best, None), base)
 
 
 def nested_select(df: DataFrame, base: Layer, source: DataFrame | None, k: int = 5, inner_k: int = 5, by: str = "acc", min_gain: float = 0.0, group: str = "grp", candidates: dict | None = None) -> tuple[DataFrame, list[str]]:
     """Nested selection: the inner folds of every outer training part pick an arm, the outer part is predicted by that pick.
 
     df: x, y, group; returns out-of-fold rows with p, and the pick of every outer fold."""
-    n = len(base.mean)
     outer = with_folds(df, group, k).persist()
-    cands = candidates or arms(base, source, n)
+    cands = candidates or arms(base, source is not None)
     picks, layers = [], {}
     try:
         for f in range(k):
-            train = outer.filter(F.col("fold") != f).drop("fold")
-            inner = with_folds(train, group, inner_k).persist()
-            try:
-                pick, _ = select_arm(inner, cands, inner_k, by, min_gain)
-                layers[f] = cands[pick](inner)
-            finally:
-                inner.unpersist()
+            inner = with_folds(outer.filter(F.col("fold") != f).drop("fold"), group, inner_k)
+            pick, _, layer = select_arm(inner, base, cands, inner_k, by, min_gain, source)
             picks.append(pick)
-        folded = {f: fold_recal(m) if m.base is not None else m for f, m in layers.items()}
-        return predict_by_fold(outer, folded), picks
+            layers[f] = fold_recal(layer)
+        return predict_by_fold(outer, layers), picks
     finally:
         outer.unpersist()
 
