@@ -29,4 +29,4 @@ def load() -> None:
         import_module(f"siteval.catalog.{module}")
 
 
-MODULES = ["rows", "metric", "pair", "order", "scalar", "event", "sampler", "fitting"]
+MODULES = ["rows", "metric", "pair", "order", "scalar", "event", "sampler", "fitting", "source", "stream"]
