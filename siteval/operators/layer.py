@@ -152,9 +152,9 @@ def _fold_scores(found: dict, names, k: int, by: str) -> dict[str, float]:
     for name in names:
         parts = [found[name, f] for f in range(k) if found[name, f][0]]
         if by == "cost":
-            out[name] = -sum(c for _, _, c in parts) / sum(r for r, _, _ in parts)
+            out[name] = float(-sum(c for _, _, c in parts) / sum(r for r, _, _ in parts))
         else:
-            out[name] = sum(h / r for r, h, _ in parts) / len(parts)
+            out[name] = float(sum(h / r for r, h, _ in parts) / len(parts))
     return out
 
 

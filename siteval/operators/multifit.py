@@ -78,9 +78,11 @@ def _sums(df: DataFrame, n: int, per_batch, partitions: int) -> dict[int, np.nda
         salted = out.withColumn("s", F.spark_partition_id() % (_SALTS * max(1, math.isqrt(partitions) // _SALTS)))
         out = salted.groupBy("job", "s").applyInPandas(add, "job int, v array<double>")
     total: dict[int, np.ndarray] = {}
-    for r in out.collect():
-        v = np.asarray(r["v"])
-        total[r["job"]] = total[r["job"]] + v if r["job"] in total else v
+    for b in out.toArrow().to_batches():
+        values, offsets = b.column("v").values.to_numpy(zero_copy_only=False), b.column("v").offsets.to_numpy()
+        for i, j in enumerate(b.column("job").to_pylist()):
+            v = values[offsets[i]:offsets[i + 1]]
+            total[j] = total[j] + v if j in total else v.copy()
     return total
 
 
