@@ -154,7 +154,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = O.features(V.raw_sites(spark, sf), "raw").select("scene", "site", "y", "x")
     other = d.select("scene", L.mirror_site(F.col("site")).alias("site"), F.col("x").alias("_m"))
-    d = d.join(other, ["scene", "site"]).withColumn("xc", F.when(F.col("scene") % 5 == 0, F.col("_m")).otherwise(F.col("x")))
+    d = d.join(other, ["scene", "site"]).withColumn("xc", F.when(F.col("scene") % 5 == 0, F.col("_m")).otherwise(F.col("x"))).drop("_m")
     return S.swap_detector(d, "x", "xc", 19, thresholds=(0.6,))
 
 
