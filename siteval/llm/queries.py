@@ -1,8 +1,9 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from siteval.llm import jaccard
+from siteval.llm import jaccard, langid
 
 QUERIES = {
     "op3_ngram_jaccard_join": jaccard.query,
+    "op9_byte_cnn_language": langid.query,
 }
 ORACLES: dict[str, str] = {}
