@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ BUCKET_BYTES = 24 << 20
 
 
 def _permuted(seed: int):
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         """One bucket: put in an order that depends on the records only, then shuffled; ``_place`` is the place in the global order."""
         bucket = key[0].as_py()
-        t = t.take(pa.compute.sort_indices(t, sort_keys=[("_draw", "ascending")]))
+        t = t.take(pc.sort_indices(t, sort_keys=[("_draw", "ascending")]))
         order = np.arange(t.num_rows)
         np.random.default_rng([seed, bucket]).shuffle(order)  # Fisher-Yates
         t = t.take(pa.array(order))
