@@ -152,11 +152,16 @@ def _links(pairs: DataFrame, documents: DataFrame, first: DataFrame, key: str, t
 
 
 def _counted(rows: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): pairs that share as many prefix shingles of their common level as that level asks for, and whose sizes allow a link."""
+    """(a, b): pairs that share enough shingles of the prefixes of their common level m, and whose sizes allow a link.
+
+    Enough is m at least. Shingles shared beyond the prefixes are at most max(o) - m, o being the least overlap of each document
+    alone, so the prefixes must also hold what is then missing from the least overlap of the pair."""
     need = F.least("need_a", "need_b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b").cast("long") * threshold
-    fit = rows.filter(sizes & (F.greatest("level_a", "level_b") <= need)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need"))
-    return fit.filter("c >= need").select("a", "b")
+    fit = rows.filter(sizes & (F.greatest("level_a", "level_b") <= need)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+    alone = f"(greatest(n_a, n_b) * {threshold}L + 99) div 100"
+    pair = f"((n_a + n_b) * {threshold}L + {99 + threshold}) div {100 + threshold}"
+    return fit.filter(f"c >= need and c >= {pair} - {alone} + need").select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
@@ -190,7 +195,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     roots = connected_components(links)
     member = shared.select("token", "node", "n", "level", "need").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = settled(member, "members")
-    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2")
+    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi")
     open_ = member.join(mixed.select("token", F.ceil(F.col("c") / 1024).cast("int").alias("blocks")), "token")
     names = ["n", "level", "need", "root"]
     left = open_.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
