@@ -6,9 +6,10 @@ each, for every l. Each document picks its own l: the number of partners that sh
 summed frequency of the prefix divided by l, so a document with a costly prefix takes a longer one and asks for more shared
 shingles. A pair is held to the smaller l of its two documents.
 
-Equal sets are one node. Among the holders of a shingle, the smallest node is the hub; pairs with a hub are verified first.
-Holders that are then in one component need no comparison, so a large group of copies costs one pair per member. All
-remaining pairs of different components are counted and verified.
+Equal sets are one node. Among the holders of a shingle, the one with the most frequent prefix is the hub: in a group of near
+copies that is the text the others were made from. Pairs with a hub are verified first. Holders that are then in one
+component need no comparison, so a large group of copies costs one pair per member. All remaining pairs of different
+components are counted and verified.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteval.llm.common import mix, settled, sets_of, signature, table, texts_of
@@ -31,7 +33,12 @@ LEVELS = 4
 ROW_COST, MEET_COST, VERIFY_COST = 2.0, 1.0, 20.0
 #: holders of a shingle in one part of its list
 PART = 200_000
-_POSTING = "token long, part int, node long, n int, level int, need int"
+#: hubs of a shingle that all its holders are compared with before each other
+HUBS = 16
+#: holders of a shingle up to which its pairs are joined one by one; the holders of more common ones are compared in blocks
+SHORT, PAIR_BLOCK = 32, 1024
+_MET = ["a", "b", "c", "n_a", "n_b", "level_a", "level_b", "need_a", "need_b"]
+_POSTING = "token long, part int, node long, n int, level int, need int, central int"
 
 
 def _profile(batches):
@@ -115,7 +122,8 @@ def _postings(sketch_value, threshold):
                 level = np.maximum(np.arange(keep) - base + 2, 1)
                 parts = np.ceil(np.maximum(f[:keep], 1) / PART).astype(np.int64)
                 spread = (node % parts).astype(np.int32) + (parts > 1)
-                cols.append((token[by[:keep]].view(np.int64), spread, np.full(keep, node), np.full(keep, n), level, np.full(keep, need)))
+                central = min(int(f[:keep].sum() / keep), 2**31 - 1)
+                cols.append((token[by[:keep]].view(np.int64), spread, np.full(keep, node), np.full(keep, n), level, np.full(keep, need), np.full(keep, central)))
                 held += keep
                 if held > 200_000:
                     yield _batch(cols)
@@ -126,8 +134,8 @@ def _postings(sketch_value, threshold):
 
 
 def _batch(cols):
-    kinds = [np.int64, np.int32, np.int64, np.int32, np.int32, np.int32]
-    return pa.record_batch([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*cols), kinds)], names=["token", "part", "node", "n", "level", "need"])
+    kinds = [np.int64, np.int32, np.int64, np.int32, np.int32, np.int32, np.int32]
+    return pa.record_batch([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*cols), kinds)], names=["token", "part", "node", "n", "level", "need", "central"])
 
 
 def _verify(threshold):
@@ -158,12 +166,56 @@ def _counted(rows: DataFrame, threshold: int) -> DataFrame:
     alone, so the prefixes must also hold what is then missing from the least overlap of the pair."""
     need = F.least("need_a", "need_b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b").cast("long") * threshold
-    fit = rows.filter(sizes & (F.greatest("level_a", "level_b") <= need)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("need"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+    fit = rows.filter(sizes & (F.greatest("level_a", "level_b") <= need)).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min(need).alias("need"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
     alone = f"(greatest(n_a, n_b) * {threshold}L + 99) div 100"
     pair = f"((n_a + n_b) * {threshold}L + {99 + threshold}) div {100 + threshold}"
     return fit.filter(f"c >= need and c >= {pair} - {alone} + need").select("a", "b")
 
 
+def _block_counts(threshold: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Shared shingles of the holders in a pair of blocks of one hub, for all its shingles at once."""
+        token, node, side = (np.asarray(t[c]) for c in ("token", "node", "side"))
+        _, at = np.unique(token, return_inverse=True)
+        level, out = np.asarray(t["level"]), []
+        blocks = []
+        for k in (0, 1) if (side == 1).any() else (0,):
+            rows = np.flatnonzero(side == k)
+            names, first, place = np.unique(node[rows], return_index=True, return_inverse=True)
+            held = np.full((len(names), at.max() + 1), LEVELS + 1, np.int8)
+            held[place, at[rows]] = level[rows]
+            blocks.append((names, held, *(np.asarray(t[c])[rows][first] for c in ("n", "need", "root"))))
+        (a, ha, na, da, ra), (b, hb, nb, db, rb) = blocks[0], blocks[-1]
+        least = np.minimum(da[:, None], db[None])
+        c = np.zeros(least.shape, np.int32)
+        for m in np.unique(least):
+            c = np.where(least == m, ((ha <= m).astype(np.float32) @ (hb <= m).astype(np.float32).T).astype(np.int32), c)
+        fit = (c > 0) & (ra[:, None] != rb[None]) & (np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * np.int64(threshold))
+        if len(blocks) == 1:
+            fit &= a[:, None] < b[None]
+        i, j = np.nonzero(fit)
+        swap = a[i] > b[j]
+        pick = lambda x, y: (np.where(swap, y[j], x[i]), np.where(swap, x[i], y[j]))
+        (x, y), (nx, ny), (dx, dy) = pick(a, b), pick(na, nb), pick(da, db)
+        one = np.ones(len(i), np.int32)
+        return pa.table(dict(zip(_MET, [x, y, c[i, j], nx, ny, one, one, dx, dy])), schema=_MET_SCHEMA)
+    return run
+
+
+_MET_SCHEMA = pa.schema([(c, pa.int64() if c in "ab" else pa.int32()) for c in _MET])
+
+
+def _long_lists(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of holders of common shingles with the number that they share, counted in blocks: lists with the same hub meet in one group,
+    so a pair is given out once for all shingles of a hub instead of once for each."""
+    hubs = rows.groupBy("token").agg(F.max(F.struct("central", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
+    own = rows.join(hubs, "token")
+    sizes = own.groupBy("hub").agg(F.max("c").alias("most")).select("hub", F.ceil(F.col("most") / PAIR_BLOCK).cast("int").alias("blocks"))
+    placed = own.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = placed.select("hub", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "token", "node", "n", "level", "need", "root")
+    return sides.groupBy("hub", "lo", "hi").applyInArrow(_block_counts(threshold), ", ".join(f"{c} {'long' if c in 'ab' else 'int'}" for c in _MET))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles (distinct five-word shingles), component_id (smallest id reachable by links).
 
@@ -180,33 +232,42 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = rows.select("text").mapInArrow(_postings(sketch, threshold), _POSTING).repartition(parts, "token", "part")
-    hubs = postings.groupBy("token", "part").agg(F.min(F.struct("node", "n", "level", "need")).alias("hub"), F.max("node").alias("last")).filter("hub.node < last or part > 0")
-    shared = settled(postings.join(hubs.drop("last"), ["token", "part"]), "shared")
+    hubs = postings.groupBy("token", "part").agg(F.max(F.struct("central", "node", "n", "level", "need")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi or part > 0")
+    shared = settled(postings.join(hubs.drop("lo", "hi"), ["token", "part"]), "shared")
     held = [F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.level").alias("level_a"), F.col("hub.need").alias("need_a"),
             F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("level").alias("level_b"), F.col("need").alias("need_b")]
     spokes = shared.select(*held)
-    # The hubs of the parts of a divided list meet each other through the smallest of them.
+    # The hubs of the parts of a divided list meet each other through the most central of them.
     divided = shared.filter("part > 0").select("token", "hub").distinct()
-    tops = divided.groupBy("token").agg(F.min("hub").alias("top"))
+    tops = divided.groupBy("token").agg(F.max("hub").alias("top"))
     across = divided.join(tops, "token").select("token", F.col("top").alias("hub"), "hub.node", "hub.n", "hub.level", "hub.need").select(*held)
-    checked = settled(_counted(spokes.unionByName(across).filter("a <> b"), threshold), "spokes")
+    met = spokes.unionByName(across).filter("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "c": F.lit(1)})
+    checked = settled(_counted(met, threshold), "spokes")
     links = settled(_links(checked, documents, first, key, text, threshold), "links")
 
-    roots = connected_components(links)
-    member = shared.select("token", "node", "n", "level", "need").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = settled(member, "members")
-    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi")
-    open_ = member.join(mixed.select("token", F.ceil(F.col("c") / 1024).cast("int").alias("blocks")), "token")
+    member = settled(shared.select("token", "node", "n", "level", "need", "central").distinct(), "members")
     names = ["n", "level", "need", "root"]
-    left = open_.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
-    right = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
-    rest = _counted(left.join(right, ["token", "block"]).filter("a < b and root_a <> root_b"), threshold).join(checked, ["a", "b"], "left_anti")
-    more = settled(_links(settled(rest, "rest"), documents, first, key, text, threshold), "links")
+    for hubs_only in (True, False):
+        own = member.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi")
+        open_ = own.join(mixed.select("token", "c"), "token")
+        if hubs_only:  # a holder that is not near the hub may be near one of the next
+            rank = F.row_number().over(W.partitionBy("token").orderBy(F.desc("central"), F.desc("node")))
+            left = open_.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("token", F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
+            right = open_.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
+            met = left.join(right, "token").filter("root_a <> root_b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct().withColumn("c", F.lit(1))
+        else:
+            short, long_ = open_.filter(F.col("c") <= SHORT), open_.filter(F.col("c") > SHORT)
+            sides = [short.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab"]
+            met = sides[0].join(sides[1], "token").filter("a < b and root_a <> root_b").withColumn("c", F.lit(1)).select(*_MET).unionByName(_long_lists(long_, threshold))
+        pairs = settled(_counted(met, threshold).join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = checked.unionByName(pairs)
+        links = links.unionByName(settled(_links(pairs, documents, first, key, text, threshold), "links"))
 
     # Rows that repeat an id under different texts are one document.
     several = sizes.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
     again = sizes.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b")
-    roots = connected_components(links.unionByName(more).unionByName(again))
+    roots = connected_components(links.unionByName(again))
     placed = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     names_ = placed.join(least, "root").select("node", "component_id")
