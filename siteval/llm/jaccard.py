@@ -184,13 +184,17 @@ def _block_counts(threshold: int):
             names, first, place = np.unique(node[rows], return_index=True, return_inverse=True)
             held = np.full((len(names), at.max() + 1), LEVELS + 1, np.int8)
             held[place, at[rows]] = level[rows]
-            blocks.append((names, held, *(np.asarray(t[c])[rows][first] for c in ("n", "need", "root"))))
-        (a, ha, na, da, ra), (b, hb, nb, db, rb) = blocks[0], blocks[-1]
+            blocks.append((names, held, *(np.asarray(t[c])[rows][first] for c in ("n", "need", "root", "total"))))
+        (a, ha, na, da, ra, ta), (b, hb, nb, db, rb, tb) = blocks[0], blocks[-1]
         least = np.minimum(da[:, None], db[None])
         c = np.zeros(least.shape, np.int32)
         for m in np.unique(least):
             c = np.where(least == m, ((ha <= m).astype(np.float32) @ (hb <= m).astype(np.float32).T).astype(np.int32), c)
-        fit = (c > 0) & (ra[:, None] != rb[None]) & (np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * np.int64(threshold))
+        # What the other hubs may add at most decides whether the pair can still reach what it needs.
+        other = np.minimum((ta - (ha <= LEVELS).sum(axis=1))[:, None], (tb - (hb <= LEVELS).sum(axis=1))[None])
+        large = np.maximum(na[:, None], nb[None]).astype(np.int64)
+        missing = -(-(na[:, None] + nb[None].astype(np.int64)) * threshold // (100 + threshold)) + (-large * threshold // 100) + least
+        fit = (c > 0) & (c + other >= np.maximum(missing, least)) & (ra[:, None] != rb[None]) & (np.minimum(na[:, None], nb[None]) * 100 >= np.maximum(na[:, None], nb[None]) * np.int64(threshold))
         if len(blocks) == 1:
             fit &= a[:, None] < b[None]
         i, j = np.nonzero(fit)
@@ -212,7 +216,7 @@ def _long_lists(rows: DataFrame, threshold: int) -> DataFrame:
     own = rows.join(hubs, "token")
     sizes = own.groupBy("hub").agg(F.max("c").alias("most")).select("hub", F.ceil(F.col("most") / PAIR_BLOCK).cast("int").alias("blocks"))
     placed = own.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = placed.select("hub", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "token", "node", "n", "level", "need", "root")
+    sides = placed.select("hub", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "token", "node", "n", "level", "need", "root", "total")
     return sides.groupBy("hub", "lo", "hi").applyInArrow(_block_counts(threshold), ", ".join(f"{c} {'long' if c in 'ab' else 'int'}" for c in _MET))
 
 
@@ -257,6 +261,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
             right = open_.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
             met = left.join(right, "token").filter("root_a <> root_b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct().withColumn("c", F.lit(1))
         else:
+            open_ = open_.join(open_.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("total")), "node")
             short, long_ = open_.filter(F.col("c") <= SHORT), open_.filter(F.col("c") > SHORT)
             sides = [short.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab"]
             met = sides[0].join(sides[1], "token").filter("a < b and root_a <> root_b").withColumn("c", F.lit(1)).select(*_MET).unionByName(_long_lists(long_, threshold))
