@@ -46,11 +46,13 @@ def scene_stem(path: Column) -> Column:
 def publish_guard(images: DataFrame, sidecars: DataFrame, directories=(), real_data_run: bool = False) -> DataFrame:
     """Reason to refuse each image (NULL = fine). images: name, dir. sidecars: stem, dir, generator, readable.
 
-    The image's own directory is searched first, then ``directories`` in order; the first sidecar found decides."""
-    per_stem = sidecars.groupBy("stem").agg(F.map_from_entries(F.collect_set(F.struct(
-        F.col("dir"), F.struct(F.col("generator"), F.col("readable"))))).alias("_cars"))
-    j = images.withColumn("stem", scene_stem(F.col("name"))).join(per_stem, "stem", "left")
-    found = F.coalesce(F.col("_cars")[F.col("dir")], *[F.col("_cars")[d] for d in directories])
+    The image's own directory is searched first, then ``directories`` in order; the first sidecar found decides. Of several
+    sidecars of one stem in one directory an unreadable one decides, else the smallest generator."""
+    cars = sidecars.groupBy("stem", "dir").agg(F.min(F.struct("readable", "generator")).alias("_car"))
+    j = images.withColumn("stem", scene_stem(F.col("name"))).join(cars, ["stem", "dir"], "left")
+    for i, d in enumerate(directories):
+        j = j.join(cars.filter(F.col("dir") == d).select("stem", F.col("_car").alias(f"_car{i}")), "stem", "left")
+    found = F.coalesce("_car", *[f"_car{i}" for i in range(len(directories))])
     reason = (F.when(F.lit(real_data_run), "real-data run").when(found.isNull(), "no generator sidecar")
               .when(~found["readable"], "sidecar unreadable")
               .when(~F.coalesce(found["generator"], F.lit("")).rlike(GENERATOR_PATTERN), "not our generator"))

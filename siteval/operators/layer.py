@@ -17,7 +17,7 @@ from siteval.operators.decision import Layer
 from siteval.operators.groups import assign_folds
 from siteval.operators.metrics import share_if
 from siteval.operators.multifit import Fit, fit_many, holdout
-from siteval.runtime import case, small, total
+from siteval.runtime import case, total
 
 #: fits submitted to the cluster at a time
 PARALLEL = 8
@@ -50,6 +50,15 @@ def _z(x: Column, mean, scale) -> Column:
     return F.array(*[(x[i] - F.lit(mean[i])) / F.lit(scale[i]) for i in range(len(mean))])
 
 
+def class_rows(df: DataFrame, y: str, k: int, *aggs) -> dict:
+    """Class -> (class, rows, aggregates...). Labels that are NULL or outside 0..k-1 are refused, not dropped."""
+    own = F.when(F.col(y).between(0, k - 1), F.col(y).cast("int"))
+    found = {r[0]: r for r in df.groupBy(own.alias("_class")).agg(F.count(F.lit(1)), *aggs).collect()}
+    if None in found:
+        raise ValueError(f"{found[None][1]} labels are missing or outside 0..{k - 1}")
+    return found
+
+
 def fit_layer(df: DataFrame, C: float, x: str = "x", y: str = "y", weight: str | None = None, balanced: bool = False,
               base: Layer | None = None, n: int | None = None, max_iter: int = 100, tol: float = 1e-6, k: int = 4) -> Layer:
     """Multinomial logistic regression minimising C * sum(w * loss) + |W|^2 / 2, intercepts free.
@@ -67,7 +76,7 @@ def fit_layer(df: DataFrame, C: float, x: str = "x", y: str = "y", weight: str |
         data = df
         n = n or width(df, x)
         mean, scale = moments(df, x, n)
-    counts = {r[0]: (r[1], r[2]) for r in data.groupBy(y).agg(F.count(F.lit(1)), F.sum(F.col(weight) if weight else F.lit(1.0))).limit(k + 1).collect()}
+    counts = {c: (r[1], r[2]) for c, r in class_rows(data, y, k, F.sum(F.col(weight) if weight else F.lit(1.0))).items()}
     rows = sum(c for c, _ in counts.values())
     present = sorted(counts)
     if len(present) < 2:
@@ -100,14 +109,14 @@ def run_parallel(jobs: dict) -> dict:
 
 
 def with_folds(df: DataFrame, group: str = "grp", k: int = 5, out: str = "fold") -> DataFrame:
-    """Fold per row; whole groups share a fold. The fold table is joined by the planner, broadcast when it is small."""
+    """Fold per row; whole groups share a fold. The planner picks the join."""
     folds = assign_folds(df, group, k).select(group, F.col("fold").alias(out))
-    return df.join(small(folds), group)
+    return df.join(folds, group)
 
 
 def predict_by_fold(df: DataFrame, layers: dict[int, Layer], fold: str = "fold", x: str = "x", out: str = "p") -> DataFrame:
     """Probabilities of every row from the layer of its fold, in one projection: the few layers travel as a broadcast table
-    of coefficient arrays and the arithmetic is unrolled."""
+    of coefficient arrays and the arithmetic is unrolled. Rows whose fold has no layer, or no fold, get NULL."""
     some = next(iter(layers.values()))
     if some.base is not None:
         df = df.withColumn("_x", P.centred_logits(F.col(x), some.base))
@@ -115,10 +124,10 @@ def predict_by_fold(df: DataFrame, layers: dict[int, Layer], fold: str = "fold",
     n, k = len(some.mean), len(some.intercept)
     rows = [(f, [float(v) for v in m.mean], [float(v) for v in m.scale], [float(v) for row in m.coef for v in row], [max(float(v), -1e300) for v in m.intercept]) for f, m in layers.items()]
     table = F.broadcast(df.sparkSession.createDataFrame(rows, "_f int, _m array<double>, _s array<double>, _w array<double>, _b array<double>"))
-    j = df.join(table, F.col(fold) == F.col("_f"))
+    j = df.join(table, F.col(fold) == F.col("_f"), "left")
     j = j.withColumn("_z", F.array(*[(F.col(x)[i] - F.col("_m")[i]) / F.col("_s")[i] for i in range(n)]))
     j = j.withColumn("_l", F.array(*[total([F.col("_z")[i] * F.col("_w")[c * n + i] for i in range(n)]) + F.col("_b")[c] for c in range(k)]))
-    j = j.withColumn(out, P.softmax([F.col("_l")[c] for c in range(k)]))
+    j = j.withColumn(out, F.when(F.col("_f").isNotNull(), P.softmax([F.col("_l")[c] for c in range(k)])))
     return j.drop("_f", "_m", "_s", "_w", "_b", "_z", "_l", "_x")
 
 
@@ -146,13 +155,15 @@ def cross_validate(df: DataFrame, fits: dict[str, Fit], k: int = 5, x: str = "x"
     return {name: {f: found[name, f] for f in range(k)} for name in fits}
 
 
-def _fold_scores(found: dict, names, k: int, by: str) -> dict[str, float]:
-    """Mean fold accuracy per candidate, or minus the mean cost over all rows."""
+def _fold_scores(found: dict, names, k: int, by: str, pooled: bool = False) -> dict[str, float]:
+    """Mean fold accuracy per candidate (accuracy over all rows if ``pooled``), or minus the mean cost over all rows."""
     out = {}
     for name in names:
         parts = [found[name, f] for f in range(k) if found[name, f][0]]
         if by == "cost":
             out[name] = float(-sum(c for _, _, c in parts) / sum(r for r, _, _ in parts))
+        elif pooled:
+            out[name] = float(sum(h for _, h, _ in parts) / sum(r for r, _, _ in parts))
         else:
             out[name] = float(sum(h / r for r, h, _ in parts) / len(parts))
     return out
@@ -207,7 +218,7 @@ def pool(source: DataFrame, real: DataFrame, weight: float) -> DataFrame:
 
 def prior_layer(df: DataFrame, y: str = "y", n: int = 1, k: int = 4) -> Layer:
     """A layer that answers the class frequencies whatever the features."""
-    counts = {r[0]: r[1] for r in df.groupBy(y).count().limit(k + 1).collect()}
+    counts = {c: r[1] for c, r in class_rows(df, y, k).items()}
     s = sum(counts.values())
     return Layer([0.0] * n, [1.0] * n, [[0.0] * n for _ in range(k)], [math.log(counts[c] / s) if counts.get(c) else -math.inf for c in range(k)], 0.0)
 
@@ -235,7 +246,7 @@ def select_arm(df: DataFrame, base: Layer, candidates: dict[str, Fit | None], k:
         jobs = {(name, f): fit.leaving_out(f) for name, fit in candidates.items() if fit for f in [*range(k), None] if mixed[f] or fit.source_w}
         layers = fit_many(data, jobs, n) if jobs else {}
         chosen = {(name, f): (f, layers.get((name, f), base)) for name in candidates for f in range(k)}
-        scores = _fold_scores(holdout(data, chosen, n, flip="x_flip" if flip else None), candidates, k, by)
+        scores = _fold_scores(holdout(data, chosen, n, flip="x_flip" if flip else None), candidates, k, by, pooled=True)
     finally:
         data.unpersist()
     best = max(scores, key=lambda a: (round(scores[a], 4), a == "A_synthetic"))

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteval.operators.quantiles import exact_quantiles
-from siteval.runtime import small
 
 _BUCKETS = 256
 
@@ -33,7 +32,7 @@ def _offsets(df: DataFrame, bucket: str, amounts: dict[str, Column], by=()) -> D
 
 
 def _with_offsets(df: DataFrame, bucket: str, amounts: dict[str, Column], by=()) -> DataFrame:
-    return df.join(small(_offsets(df, bucket, amounts, by)), [*by, bucket])
+    return df.join(_offsets(df, bucket, amounts, by), [*by, bucket])
 
 
 def running_total(df: DataFrame, order: str, amounts: dict[str, str], by=(), inclusive: bool = True) -> DataFrame:
@@ -82,10 +81,10 @@ def id_window_groups(df: DataFrame, key: str, gap: int = 100, min_groups: int =
     ends = ends.select("_bucket", F.lag("_last").over(W.orderBy("_bucket")).alias("_prev_end"))
     inside = W.partitionBy("_bucket").orderBy(key)
     previous = F.coalesce(F.lag(key).over(inside), F.col("_prev_end"))
-    marked = ids.join(small(ends), "_bucket").withColumn("_start", F.when(previous.isNull() | (F.col(key) - previous > gap), F.col(key)))
+    marked = ids.join(ends, "_bucket").withColumn("_start", F.when(previous.isNull() | (F.col(key) - previous > gap), F.col(key)))
     carry = marked.groupBy("_bucket").agg(F.max("_start").alias("_s"))
     carry = carry.select("_bucket", F.max("_s").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
-    grouped = marked.join(small(carry), "_bucket").select(key, F.coalesce(F.max("_start").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_carried")).alias("_g"), "_start")
+    grouped = marked.join(carry, "_bucket").select(key, F.coalesce(F.max("_start").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_carried")).alias("_g"), "_start")
     few = marked.agg(F.count("_start") < min_groups).scalar()
     return grouped.select(key, few.alias("dropped"), "_g").select(key, F.when(F.col("dropped"), F.col(key)).otherwise(F.col("_g")).alias("grp"), "dropped")
 

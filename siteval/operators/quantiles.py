@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteval.runtime import BROADCAST_ROWS
-
 _ACCURACY = 100_000
 _MARGIN = 3 / _ACCURACY
 
@@ -27,8 +25,6 @@ def exact_quantiles(df: DataFrame, value: Column, qs, by=(), names=None) -> Data
     if by:
         keys = [f"_k{i}" for i in range(len(by))]
         brackets = base.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(sketch.alias("_b"))
-        if base.select(*by).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            brackets = F.broadcast(brackets)
         on = F.lit(True)
         for c, k in zip(by, keys):
             on = on & base[c].eqNullSafe(brackets[k])

@@ -72,12 +72,15 @@ class EmptySplit(ValueError):
 
 
 def filter_splits(df: DataFrame, dev: str, evaluation: str | None = None, column: str = "split") -> DataFrame:
-    """Keep two splits; refuse when either is empty, naming the splits that exist. One small aggregate decides."""
-    counts = {r[0]: r[1] for r in df.groupBy(column).count().limit(10_000).collect()}
-    for name in [dev] + ([evaluation] if evaluation else []):
-        if not counts.get(name):
-            raise EmptySplit(f"no rows in split {name!r}; splits present: {sorted(k for k in counts if k is not None)}")
-    return df.filter(F.col(column).isin(*[s for s in (dev, evaluation) if s]))
+    """Keep two splits; refuse when either is empty, naming some of the splits that exist. Only the wanted ones are counted."""
+    wanted = [s for s in (dev, evaluation) if s]
+    kept = df.filter(F.col(column).isin(*wanted))
+    present = {r[0] for r in kept.select(column).distinct().collect()}
+    for name in wanted:
+        if name not in present:
+            others = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(20).collect())
+            raise EmptySplit(f"no rows in split {name!r}; splits present: {others}")
+    return kept
 
 
 def attach_counterfactuals(sites: DataFrame, side: DataFrame, truth: DataFrame, on=("scene", "site")) -> DataFrame:

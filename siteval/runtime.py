@@ -9,18 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: largest row count of a side that may be broadcast by hint after it was counted
-BROADCAST_ROWS = 1_000_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only where the session names none (tests)."""
+    """The shared folder named by the session. Only a local session may go without: a cluster's executors could not see a private one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="siteval-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -40,11 +38,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count shows it is small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed rows (rules, costs, thresholds): always small enough to broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -31,15 +31,6 @@ def prediction_lines(records: DataFrame, team: str, email: str, version: str, ke
     return records.select(F.lit("1.0").alias("schema_version"), head.alias("submission"), F.col(key).cast("string").alias(key), "sites")
 
 
-def predictions_document(records: DataFrame, team: str, email: str, version: str, key: str = "image_id") -> DataFrame:
-    """One document with all predictions, sorted by id, for submission-sized sets (the format asks for a single array).
-
-    Larger sets are written as ``prediction_lines``, which any number of tasks can write."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias(key), "sites")))
-    head = F.struct(F.lit(team).alias("team_name"), F.lit(version).alias("version"), F.lit(email).alias("email"))
-    return records.agg(items.alias("predictions")).select(F.lit("1.0").alias("schema_version"), head.alias("submission"), "predictions")
-
-
 def write_predictions(records: DataFrame, path: str, team: str, email: str, version: str) -> None:
     """Validated records as JSON lines; Spark's commit protocol keeps readers from seeing a partial result."""
     write_rows(prediction_lines(records, team, email, version), path, "overwrite")
@@ -79,15 +70,12 @@ def resume_append(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return source.join(done.select(key).distinct(), key, "left_anti")
 
 
-def markdown_table(df: DataFrame, limit: int = 500) -> str:
-    """A small result table as markdown; refuses tables above ``limit`` rows."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a report table may hold at most {limit} rows")
+def markdown_table(df: DataFrame) -> str:
+    """A result table as markdown, fetched a partition at a time; meant for tables that people read."""
     def cell(v):
         return "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join(cell(v) for v in r) + " |" for r in df.toLocalIterator())])
 
 
 def report(title: str, sections: dict[str, DataFrame]) -> str:

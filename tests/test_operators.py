@@ -275,6 +275,35 @@ def test_empty_publish_set_is_refused(spark):
     assert integrity.guard_verdict(integrity.publish_guard(images, cars)).first()["allowed"] is False
 
 
-def test_report_refuses_large_tables(spark):
-    with pytest.raises(ValueError):
-        writers.markdown_table(spark.range(600))
+def test_report_writes_large_tables_whole(spark):
+    from siteval.sources.writers import markdown_table
+    assert len(markdown_table(spark.range(1200)).splitlines()) == 1202
+
+
+def test_split_is_found_among_many(spark):
+    from siteval.operators import sites
+    rows = spark.range(12_000).selectExpr("concat('s', id) AS split")
+    assert sites.filter_splits(rows, "s11999").count() == 1
+
+
+def test_rows_of_a_fold_without_layer_stay(spark):
+    from siteval.operators.decision import Layer
+    from siteval.operators.layer import predict_by_fold
+    rows = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (None, [2.0])], "fold int, x array<double>")
+    layer = Layer([0.0], [1.0], [[0.0], [0.0]], [0.0, 0.0], 1.0)
+    got = {r.fold: r.p for r in predict_by_fold(rows, {0: layer}).collect()}
+    assert got == {0: [0.5, 0.5], 1: None, None: None}
+
+
+def test_arm_scores_pool_rows_over_uneven_folds():
+    from siteval.operators.layer import _fold_scores
+    found = {("a", 0): (10, 10, 0.0), ("a", 1): (90, 45, 0.0)}
+    assert _fold_scores(found, ["a"], 2, "acc") == {"a": 0.75} and _fold_scores(found, ["a"], 2, "acc", pooled=True) == {"a": 0.55}
+
+
+def test_guard_takes_repeated_sidecars(spark):
+    from siteval.operators.integrity import publish_guard
+    images = spark.createDataFrame([("S001.png", "d"), ("S002.png", "d")], "name string, dir string")
+    cars = spark.createDataFrame([("S001", "d", "g", True), ("S001", "d", "g", False)], "stem string, dir string, generator string, readable boolean")
+    got = {r.name: r.reason for r in publish_guard(images, cars, ["e"]).collect()}
+    assert got == {"S001.png": "sidecar unreadable", "S002.png": "no generator sidecar"}
