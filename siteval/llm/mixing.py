@@ -19,6 +19,8 @@ AXES = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 #: rounds of raking, and the relative error of every margin at which it ends
 ROUNDS, TOLERANCE = 50, 1e-6
+#: rounds in a row in which the error hardly falls (less than a thousandth) after which targets count as contradictory
+STALLED = 3
 NONE = "(none)"
 
 
@@ -56,7 +58,8 @@ def rake(cells: DataFrame, shares: dict, rounds: int = ROUNDS, tolerance: float
         return cells.withColumn("w", F.lit(0.0))
     goal = {a: settled(targets_of(cells, a, s), f"target-{a}") for a, s in shares.items()}
     w = cells.withColumn("w", F.col("n").cast("double"))
-    for _ in range(rounds):
+    last, stalled = float("inf"), 0
+    for done in range(1, rounds + 1):
         for axis in shares:
             margin = w.groupBy(axis).agg(F.sum("w").alias("m")).join(goal[axis], axis).withColumn("f", F.when(F.col("m") > 0, F.col("target") / F.col("m")).otherwise(0.0))
             w = w.join(margin.select(axis, "f"), axis).withColumn("w", F.col("w") * F.col("f")).drop("f")
@@ -65,7 +68,11 @@ def rake(cells: DataFrame, shares: dict, rounds: int = ROUNDS, tolerance: float
         worst = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("e").alias("e")).first().e
         if worst <= tolerance:
             return w
-    raise ValueError(f"margins off by {worst:.3g} after {rounds} rounds: targets and cells contradict each other")
+        stalled = stalled + 1 if worst >= 0.999 * last else 0
+        last = worst
+        if stalled == STALLED:
+            break
+    raise ValueError(f"margins off by {worst:.3g} after {done} rounds: targets and cells contradict each other")
 
 
 def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", shares: dict | None = None, rate: float = 1.0, seed: int = 0) -> DataFrame:
