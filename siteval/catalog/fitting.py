@@ -72,7 +72,7 @@ def _(spark, sf):
 
 def _scored(spark, sf):
     rows = ledger_input(spark, sf).select("scene", "site", "split", "y", "raw", "raw_side", "raw_true", "labels", "wound_visible_px", "kp", "position", "visible_fraction")
-    return scorer.score_phase(rows, "check", "dev", "eval", limb=True, alt_rules=("0.00", "0.25"), grid=(0.03, 0.3))
+    return scorer.score_phase(rows, "check", "dev", "eval", limb=True, alt_rules=("0.00", "0.25"))
 
 
 @query("M6_scorer_coverage", "SELECT split, count(*) AS sites, count(*) FILTER (has_side) AS side, count(*) FILTER (has_true) AS true_map FROM v_raw GROUP BY 1")
@@ -85,7 +85,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = O.features(O.features(V.raw_sites(spark, sf).filter("has_true"), "raw", out="xp"), "raw_true", out="xt")
     both = M.with_folds(d.select("scene", "y", X.swap_group(F.col("xp"), F.col("xt"), (15, 16, 17), 19).alias("x")), "scene").persist()
-    C, acc = M.fit_C(both, (0.1, 1.0), n=19)
+    C, acc = M.fit_C(both, n=19)
     both.unpersist()
     return spark.createDataFrame([("wound", C, acc)], "group string, C double, acc double")
 
@@ -115,7 +115,7 @@ def _(spark, sf):
 def _(spark, sf):
     real, source = real_and_source(spark, sf)
     src = source.select("x", "y").persist()
-    rows, picks = M.nested_select(real, _base(src), src, 3, 3, by="cost")
+    rows, picks = M.nested_select(real, _base(src), src, by="cost")
     out = M.accuracy_of(rows, by=("fold",))
     src.unpersist()
     return out.withColumn("pick", F.element_at(F.array(*[F.lit(p) for p in picks]), F.col("fold") + 1))
@@ -128,7 +128,7 @@ def _(spark, sf):
     d = M.with_folds(real, "grp").persist()
     layers = M.cross_validate(d, {"D": Fit(0.1, base=base)})["D"]
     rows = M.predict_by_fold(d, layers)
-    return adaptation.report(rows, 200, key="scene")
+    return adaptation.report(rows, key="scene")
 
 
 @query("M14_visible_fraction_regressor")
@@ -141,7 +141,7 @@ def _(spark, sf):
 @query("M15_pod_curve")
 def _(spark, sf):
     d = V.raw_sites(spark, sf).filter("y = 1")
-    return S.pod_curve(d, "scene", F.col("wound_px"), F.col("pred_a") == 1, replicates=200)
+    return S.pod_curve(d, "scene", F.col("wound_px"), F.col("pred_a") == 1)
 
 
 @query("M16_domain_auc")
@@ -155,7 +155,7 @@ def _(spark, sf):
     d = O.features(V.raw_sites(spark, sf), "raw").select("scene", "site", "y", "x")
     other = d.select("scene", L.mirror_site(F.col("site")).alias("site"), F.col("x").alias("_m"))
     d = d.join(other, ["scene", "site"]).withColumn("xc", F.when(F.col("scene") % 5 == 0, F.col("_m")).otherwise(F.col("x"))).drop("_m")
-    return S.swap_detector(d, "x", "xc", 19, thresholds=(0.6,))
+    return S.swap_detector(d, "x", "xc", 19)
 
 
 @query("M19_leave_one_group_out")
@@ -168,7 +168,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = M.with_folds(design(spark, sf), "scene").select("fold", "y", "x").persist()
     sets = {"all": list(range(19)), "no_ring": [i for i, f in enumerate(FEATURES) if not f.startswith("ring_")], "wound_only": [15, 16, 17]}
-    out = S.ablation(d, sets, grid=(0.1, 1.0))
+    out = S.ablation(d, sets)
     d.unpersist()
     return out
 
@@ -187,7 +187,7 @@ def _(spark, sf):
     limb = design(spark, sf, limb=True)
     def pair(x):
         return M.with_folds(x.filter("split = 'dev'"), "scene"), x.filter("split = 'eval'")
-    return S.experiment_grid({"site": pair(d), "site+limb": pair(limb)}, grid=(0.1, 1.0)).drop("by_position")
+    return S.experiment_grid({"site": pair(d), "site+limb": pair(limb)})
 
 
 @query("M23_compare_feature_blocks")
@@ -195,7 +195,7 @@ def _(spark, sf):
     rows = V.raw_sites(spark, sf)
     d = O.features(rows, "raw", "raw").select("scene", "tourniquet", "y", F.expr("CASE WHEN visible_fraction < 0.25 THEN 3 ELSE y END").alias("y25"), "x")
     d = M.with_folds(d, "scene").persist()
-    out = S.compare_feature_blocks(d, {"base": list(range(19)), "base+limb": list(range(27))}, ["y", "y25"], "tourniquet", grid=(0.1,))
+    out = S.compare_feature_blocks(d, {"base": list(range(19)), "base+limb": list(range(27))}, ["y", "y25"], "tourniquet")
     d.unpersist()
     return out
 
@@ -208,7 +208,7 @@ def _(spark, sf):
 
     d = O.features(rows, "raw").select("scene", "x", t(0.0).alias("y00"), t(0.10).alias("y10"), t(0.25).alias("y25"))
     d = M.with_folds(d, "scene").persist()
-    out = S.label_cutoff_budget(d, {"0.00": "y00", "0.10": "y10", "0.25": "y25"}, grid=(0.1, 1.0))
+    out = S.label_cutoff_budget(d, {"0.00": "y00", "0.10": "y10", "0.25": "y25"})
     d.unpersist()
     return out
 

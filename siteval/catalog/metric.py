@@ -292,10 +292,10 @@ def _(spark, sf):
 
 
 @query("A28_bitmask_containment", """SELECT site, CAST(max(o) AS DOUBLE) AS worst, count(*) FILTER (o > 0.005) AS scenes_over, max(o) <= 0.005 AS ok FROM (SELECT scene, site,
-    CAST(count(*) FILTER ((owner & b)=0) AS DOUBLE)/count(*) AS o FROM v_pix JOIN (VALUES ('LUE',1),('RUE',2),('LLE',4)) AS s(site,b) ON v_pix.gt % 3 = CASE b WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END WHERE visible GROUP BY ALL) GROUP BY 1""")
+    CAST(count(*) FILTER ((owner & b)=0) AS DOUBLE)/count(*) AS o FROM v_pix JOIN (VALUES ('LUE',1,0),('RUE',2,1),('LLE',4,2),('RLE',8,3)) AS s(site,b,i) ON v_pix.gt % 4 = i WHERE visible GROUP BY ALL) GROUP BY 1""")
 def _(spark, sf):
-    d = V.pixels(spark, sf).filter("visible").withColumn("site", F.element_at(F.array(*[F.lit(s) for s in SITES[:3]]), (F.col("gt") % 3 + 1).cast("int")))
-    bit = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("gt") % 3 + 1).cast("int"))
+    d = V.pixels(spark, sf).filter("visible").withColumn("site", F.element_at(F.array(*[F.lit(s) for s in SITES]), (F.col("gt") % 4 + 1).cast("int")))
+    bit = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4), F.lit(8)), (F.col("gt") % 4 + 1).cast("int"))
     return X.bitmask_containment(d.withColumn("bit", bit), "owner", "bit")
 
 

@@ -51,10 +51,10 @@ def _(spark, sf):
 
 
 @query("W4_id_window_groups", """SELECT id, CASE WHEN count(*) FILTER (b) OVER () < 20 THEN id ELSE max(CASE WHEN b THEN id END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) END AS grp, count(*) FILTER (b) OVER () < 20 AS dropped
-    FROM (SELECT id, coalesce(id - lag(id) OVER (ORDER BY id) > 100, true) AS b FROM (SELECT event_id*7 AS id FROM events WHERE event_id % 40 < 20))""")
+    FROM (SELECT id, coalesce(id - lag(id) OVER (ORDER BY id) > 100, true) AS b FROM (SELECT event_id*7 + (event_id//40)*200 AS id FROM events))""")
 def _(spark, sf):
-    ids = V.table(spark, sf, "events").filter("event_id % 40 < 20").selectExpr("event_id*7 AS id")
-    return W.id_window_groups(ids, "id", span=5000)
+    ids = V.table(spark, sf, "events").selectExpr("event_id*7 + (event_id div 40)*200 AS id")
+    return W.id_window_groups(ids, "id")
 
 
 @query("W4_id_window_dropped", """SELECT p_partkey AS id, p_partkey AS grp, true AS dropped FROM part""")
@@ -166,13 +166,15 @@ def _(spark, sf):
     return G.sample_without_replacement(V.table(spark, sf, "orders").selectExpr("o_orderkey AS scene"), "scene", 240, 5)
 
 
-_BOOT = f"""g AS (SELECT row_number() OVER (ORDER BY md5('0|' || cust)) - 1 AS idx, n, ok, count(*) OVER () AS g FROM (SELECT cust, count(*) AS n, count(*) FILTER (y=pred_a) AS ok FROM v_sites GROUP BY 1)),
-    r AS (SELECT d.b, sum(g.n) AS n, sum(g.ok) AS ok FROM (SELECT b, CAST(floor({_U.format(x="'0|' || b || '|' || idx")} * g) AS BIGINT) AS pick FROM g CROSS JOIN range(0,200) AS t(b)) d JOIN g ON g.idx = d.pick GROUP BY 1)"""
+# The Poisson count of a uniform u: how many of the cumulated probabilities it reaches.
+_BOOT = f"""f AS (SELECT k, 1.0::DOUBLE AS x FROM range(0,16) AS t(k)), c AS (SELECT a.k, exp(-1.0::DOUBLE) * sum(1.0::DOUBLE / CAST(factorial(CAST(b.k AS INT)) AS DOUBLE)) AS below FROM f a JOIN f b ON b.k <= a.k GROUP BY 1), cs AS (SELECT list(below ORDER BY k) AS below FROM c),
+    g AS (SELECT cust, count(*) AS n, count(*) FILTER (y=pred_a) AS ok FROM v_sites GROUP BY 1),
+    r AS (SELECT b, sum(n*w) AS n, sum(ok*w) AS ok FROM (SELECT b, n, ok, len(list_filter(below, lambda v: v <= u)) AS w FROM (SELECT b, n, ok, {_U.format(x="'0|' || b || '|' || cust")} AS u FROM g CROSS JOIN range(0,500) AS t(b)) CROSS JOIN cs) GROUP BY 1)"""
 
 
 @query("G4_bootstrap_ci", f"""WITH {_BOOT} SELECT (SELECT CAST(count(*) FILTER (y=pred_a) AS DOUBLE)/count(*) FROM v_sites) AS acc, round(quantile_cont(CAST(ok AS DOUBLE)/n, 0.025), 9) AS lo, round(quantile_cont(CAST(ok AS DOUBLE)/n, 0.975), 9) AS hi FROM r""")
 def _(spark, sf):
-    ci = B.bootstrap_ci(V.sites(spark, sf), "grp", pred="pred_a", replicates=200)
+    ci = B.bootstrap_ci(V.sites(spark, sf), "grp", pred="pred_a", replicates=500)
     return ci.select("acc", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 

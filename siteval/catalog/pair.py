@@ -203,7 +203,7 @@ def _(spark, sf):
     return I.determinism_check(s.select("scene", "site", "pred_a"), s.selectExpr("scene", "site", "CASE WHEN px%50=0 THEN pred_a + 10 ELSE pred_a END AS pred_a"))
 
 
-@query("V7_source_hash")
+@query("V7_source_hash", """SELECT CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM (SELECT substr(h,1,4) AS b, count(*) AS files, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT sha256(name || ' ' || sha) AS h FROM v_lock) GROUP BY 1)""")
 def _(spark, sf):
     return I.source_hash(V.manifest_lock(spark, sf))
 

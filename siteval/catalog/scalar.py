@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siteval import fixtures as V
 from siteval.catalog import query
 from siteval.catalog.order import _FEATS
-from siteval.constants import FEATURE_GROUPS
+from siteval.constants import FEATURE_GROUPS, SITES
 from siteval.functions import features as X
 from siteval.functions import geometry as Q
 from siteval.functions import labels as L
@@ -18,6 +18,7 @@ from siteval.operators import layer as M
 from siteval.operators import metrics as A
 from siteval.operators import pixels as XP
 from siteval.operators import sites as O
+from siteval.runtime import case
 
 
 def _rounded(col, n, prefix="f", digits=9):
@@ -50,10 +51,11 @@ def _(spark, sf):
     return j.select("scene", "site", *[F.round(v[i], 9).alias(f"f{i:02d}") for i in (0, 1, 4, 5, 6, 7, 8, 12, 16)])
 
 
-@query("F4_chain_length", """SELECT scene, round(sqrt(4*(px%9)*(px%9) + 9.0*(px%7)*(px%7)) + sqrt(4*(px%9)*(px%9) + 9.0*(px%7)*(px%7)), 9) AS "length" FROM v_sites WHERE k=1""")
+@query("F4_chain_length", """SELECT scene, site, round(sqrt(4*(px%9)*(px%9) + 9.0*(px%7)*(px%7)) + sqrt(4*(px%9)*(px%9) + 9.0*(px%7)*(px%7)), 9) AS "length" FROM v_sites""")
 def _(spark, sf):
     xy = F.expr("transform(sequence(0, 16), i -> array(CAST(i*(px%9) AS DOUBLE), CAST(i*(px%7) AS DOUBLE)*1.5D))")
-    return V.sites(spark, sf).filter("k = 1").select("scene", F.round(X.chain_length(xy, "LUE"), 9).alias("length"))
+    length = case([(F.col("site") == s, X.chain_length(xy, s)) for s in SITES])
+    return V.sites(spark, sf).select("scene", "site", F.round(length, 9).alias("length"))
 
 
 @query("F5_visible_fraction_terms", """SELECT scene, site, v, round(ln(c/(1-c)),9) AS logit, CAST(v<0.1 AS DOUBLE) AS under, round(abs(ln(c/(1-c)) - ln(0.1/0.9::DOUBLE)),9) AS dist FROM (

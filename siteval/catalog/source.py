@@ -34,7 +34,7 @@ def _(spark, sf):
     return d.select("scene_id", "params.body_position", F.map_contains_key("params.amputations", F.lit("RUE")).alias("amputated"))
 
 
-@query("S2_read_records", "SELECT scene::VARCHAR AS scene, r_vis AS vis_px, CASE y WHEN 0 THEN 'no_injury' WHEN 1 THEN 'wound' WHEN 2 THEN 'amputation' ELSE 'not_testable' END AS label FROM v_raw WHERE k=1")
+@query("S2_read_records", "SELECT scene::VARCHAR AS scene, site, r_vis AS vis_px, CASE y WHEN 0 THEN 'no_injury' WHEN 1 THEN 'wound' WHEN 2 THEN 'amputation' ELSE 'not_testable' END AS label FROM v_raw")
 def _(spark, sf):
     root = scratch_path(spark, "records")
     r = records(spark, sf).join(_names(spark, sf), "scene")
@@ -43,18 +43,19 @@ def _(spark, sf):
     stale.write.json(f"{root}/a")
     r.write.json(f"{root}/b")
     d = R.read_records(spark, [f"{root}/a", f"{root}/b"])
-    return d.filter("split <> 'stale'").select("scene", F.col("sites")["LUE"]["vis_px"].alias("vis_px"), F.col("labels")["0.10"]["LUE"].alias("label"))
+    d = d.filter("split <> 'stale'").select("scene", "labels", F.explode("sites").alias("site", "m"))
+    return d.select("scene", "site", "m.vis_px", F.col("labels")["0.10"][F.col("site")].alias("label"))
 
 
-@query("S3_read_engine_rows", "SELECT scene || '_v1' AS id, r_vis AS vis_px FROM v_raw WHERE k=1 AND scene%5<>0")
+@query("S3_read_engine_rows", "SELECT scene || '_v1' AS id, site, r_vis AS vis_px FROM v_raw WHERE scene%5<>0")
 def _(spark, sf):
     path = scratch_path(spark, "rows")
     r = records(spark, sf).select(F.concat(F.col("scene").cast("string"), F.lit("_v1.jpg")).alias("image_id"), F.when(F.col("scene") % 5 != 0, F.transform_values("sites", lambda _, v: v["raw"])).alias("sites"))
     r.write.option("compression", "gzip").json(path)
-    return R.read_engine_rows(spark, path).select("id", F.col("sites")["LUE"]["vis_px"].alias("vis_px"))
+    return R.read_engine_rows(spark, path).select("id", F.explode("sites").alias("site", "m")).select("id", "site", "m.vis_px")
 
 
-@query("S4_read_checks", "SELECT scene::VARCHAR AS scene, CASE WHEN has_true THEN t_vis END AS vis_px, CASE WHEN scene%2=0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS kp FROM v_raw WHERE k=1 AND split='dev'")
+@query("S4_read_checks", "SELECT scene::VARCHAR AS scene, site, CASE WHEN has_true THEN t_vis END AS vis_px, CASE WHEN scene%2=0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS kp FROM v_raw WHERE split='dev'")
 def _(spark, sf):
     path = scratch_path(spark, "checks")
     kp = "named_struct('xy', array(array({v}D, 0D)), 'score', array(0.5D))"
@@ -63,7 +64,7 @@ def _(spark, sf):
     r.write.json(path)
     backfill = r.select("scene", F.expr(kp.format(v="2")).alias("kp"))
     d = R.read_checks(spark, path, "gt", "dev", backfill)
-    return d.select("scene", F.col("sites")["LUE"]["vis_px"].alias("vis_px"), F.col("kp.xy")[0][0].alias("kp"))
+    return d.select("scene", F.explode("sites").alias("site", "m"), F.col("kp.xy")[0][0].alias("kp")).select("scene", "site", "m.vis_px", "kp")
 
 
 @query("S5_read_labels_csv", "SELECT scene || '' AS id, site, CASE WHEN px%9=0 THEN NULL ELSE y END AS y FROM v_sites")
@@ -86,14 +87,15 @@ def _(spark, sf):
 
 
 @query("S6_read_labels_two_reader", """SELECT pair AS photo, 'LUE' AS site, CASE WHEN usable_a AND usable_b AND a_l=b_l THEN a_l END AS class FROM v_readers
-    UNION ALL SELECT pair, 'RUE', CASE WHEN usable_a AND usable_b AND a_r=b_r AND a_r<>'unsure' THEN a_r END FROM v_readers""")
+    UNION ALL SELECT pair, unnest(['RUE', 'LLE']), CASE WHEN usable_a AND usable_b AND a_r=b_r AND a_r<>'unsure' THEN a_r END FROM v_readers
+    UNION ALL SELECT pair, 'RLE', CASE WHEN usable_a AND usable_b AND a_l=b_r AND a_l<>'unsure' THEN a_l END FROM v_readers""")
 def _(spark, sf):
     root = scratch_path(spark, "sheets")
     d = V.readers(spark, sf)
     for r in "ab":
         d.select(F.col("pair").alias("n"), F.when(F.col(f"usable_{r}"), "yes").otherwise("no").alias("usable"), F.lit("full body").alias("framing"), F.lit("sure").alias("side_conf"), F.lit("u").alias("page_url"),
-                 F.col(f"{r}_l").alias("LUE_class"), F.col(f"{r}_r").alias("RUE_class"), *[F.lit("x").alias(c) for c in ("LLE_class", "RLE_class", "LUE_visible", "RUE_visible", "LLE_visible", "RLE_visible")]).write.option("header", True).csv(f"{root}/{r}")
-    return R.read_labels_two_reader(spark, f"{root}/a", f"{root}/b").filter("site IN ('LUE', 'RUE')").select(F.col("photo").cast("long").alias("photo"), "site", "class")
+                 F.col(f"{r}_l").alias("LUE_class"), F.col(f"{r}_r").alias("RUE_class"), F.col(f"{r}_r").alias("LLE_class"), F.col("a_l" if r == "a" else "b_r").alias("RLE_class"), *[F.lit("x").alias(c) for c in ("LUE_visible", "RUE_visible", "LLE_visible", "RLE_visible")]).write.option("header", True).csv(f"{root}/{r}")
+    return R.read_labels_two_reader(spark, f"{root}/a", f"{root}/b").select(F.col("photo").cast("long").alias("photo"), "site", "class")
 
 
 @query("S8_read_manifest", "SELECT name, sha FROM v_lock")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SCALE = float(1 << 52)
+#: largest Poisson count: more have a probability below 1e-14
+POISSON_TOP = 16
 
 
 def key_text(*parts) -> Column:
@@ -27,6 +31,13 @@ def pick_index(n: Column, *parts) -> Column:
     return F.floor(uniform(*parts) * n).cast("long")
 
 
+def poisson_weights(n: int, seed, key: Column) -> Column:
+    """An array of ``n`` Poisson(1) counts that depend only on seed, place and key: how often an item is drawn in each bootstrap replicate."""
+    below = [math.exp(-1) * math.fsum(1 / math.factorial(j) for j in range(k + 1)) for k in range(POISSON_TOP)]
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: uniform(seed, b, key))
+    return F.transform(drawn, lambda u: F.size(F.filter(F.array(*[F.lit(v) for v in below]), lambda v: v <= u)))
+
+
 def sha_split(key: Column) -> Column:
     """Half split by the parity of the last hex digit of SHA-256."""
     return (F.conv(F.substring(F.sha2(key.cast("string"), 256), 64, 1), 16, 10).cast("int") % 2)

@@ -37,7 +37,7 @@ def from_predictions(docs: DataFrame, key: str = "image_id") -> DataFrame:
                        class_index(F.col("_s.injury_type")).alias("y"))
 
 
-def fallback_fill(expected: DataFrame, got: DataFrame, fallback: int | Column, key: str = "image_id") -> DataFrame:
+def fallback_fill(expected: DataFrame, got: DataFrame, fallback: int | Column, key: str = "image_id", bias=None) -> DataFrame:
     """Every expected (key, site) gets a class: the decided one, or the fallback with a reason.
 
     got: key, site, p (NULL when the image failed), reason. A left join makes dropping an input impossible."""
@@ -46,7 +46,7 @@ def fallback_fill(expected: DataFrame, got: DataFrame, fallback: int | Column, k
     ok = P.check_probs(F.col("p"))
     reason = F.when(ok, None).otherwise(F.coalesce(F.col("_why"), F.when(F.col("p").isNull(), "missing").otherwise("not a distribution")))
     fb = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return j.select(key, "site", F.when(ok, P.decide(F.col("p"))).otherwise(fb).alias("pred"), reason.alias("reason"))
+    return j.select(key, "site", F.when(ok, P.decide(F.col("p"), bias)).otherwise(fb).alias("pred"), reason.alias("reason"))
 
 
 def fallback_class(df: DataFrame, y: str = "y") -> Column:

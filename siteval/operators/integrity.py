@@ -158,7 +158,7 @@ def determinism_check(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("equal", (F.col("only_first") == 0) & (F.col("only_second") == 0))
 
 
-def source_hash(files: DataFrame, name: str = "name", sha: str = "sha", digits: int = 2) -> DataFrame:
+def source_hash(files: DataFrame, name: str = "name", sha: str = "sha", digits: int = 4) -> DataFrame:
     """One SHA-256 over a file set. Hashes of names and contents are combined in a two-level tree (by hash prefix), so no
     task holds the whole listing. The value differs from hashing the concatenated bytes."""
     leaf = F.sha2(F.concat_ws(" ", F.col(name), F.col(sha)), 256)

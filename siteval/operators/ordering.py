@@ -51,8 +51,8 @@ def row_index(df: DataFrame, order: str, out: str = "idx", by=()) -> DataFrame:
     return r.drop("_one")
 
 
-def hash_rank(df: DataFrame, hashed: Column, out: str = "rank", by=(), digits: int = 2) -> DataFrame:
-    """1-based rank in the order of a hex hash: offsets per hash prefix plus ranks inside a prefix."""
+def hash_rank(df: DataFrame, hashed: Column, out: str = "rank", by=(), digits: int = 4) -> DataFrame:
+    """1-based rank in the order of a hex hash: offsets per hash prefix (65,536 of them) plus ranks inside a prefix."""
     h = df.withColumn("_h", hashed).withColumn("_bucket", F.substring("_h", 1, digits))
     j = _with_offsets(h, "_bucket", {"_cnt": F.lit(1).cast("long")}, by)
     inside = W.partitionBy(*by, "_bucket").orderBy("_h")
@@ -71,12 +71,13 @@ def top_per_group(df: DataFrame, by, order, n: int) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def id_window_groups(df: DataFrame, key: str, gap: int = 100, min_groups: int = 20, span: int = 1_000_000) -> DataFrame:
+def id_window_groups(df: DataFrame, key: str, gap: int = 100, min_groups: int = 20) -> DataFrame:
     """Link consecutive ids at most ``gap`` apart; when that leaves fewer than ``min_groups`` groups, drop the rule and
     leave every id alone. Output: key, grp (smallest id of the group), dropped.
 
-    Ids are cut into ranges of ``span`` values; each range needs only the largest id before it from the small range table."""
-    ids = df.select(key).distinct().withColumn("_bucket", F.floor(F.col(key) / span))
+    Ids are cut at their own quantiles into ranges of like size, however sparse they are; each range needs only the largest id
+    before it from the small range table."""
+    ids = range_buckets(df.select(key).distinct(), key)
     ends = ids.groupBy("_bucket").agg(F.max(key).alias("_last"))
     ends = ends.select("_bucket", F.lag("_last").over(W.orderBy("_bucket")).alias("_prev_end"))
     inside = W.partitionBy("_bucket").orderBy(key)

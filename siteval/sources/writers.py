@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteval.constants import JOINTS, KEYPOINT_COUNT, KEYPOINTS
 from siteval.functions.geometry import joint_state
+from siteval.operators.documents import validate_predictions
 from siteval.runtime import lookup
 
 
@@ -26,14 +27,20 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 def prediction_lines(records: DataFrame, team: str, email: str, version: str, key: str = "image_id") -> DataFrame:
     """One self-contained document per image: (schema_version, submission, key, sites). Rows with NULL or unknown classes
-    are refused by ``validate_predictions`` before they are written."""
+    are refused by ``write_predictions``."""
     head = F.struct(F.lit(team).alias("team_name"), F.lit(version).alias("version"), F.lit(email).alias("email"))
     return records.select(F.lit("1.0").alias("schema_version"), head.alias("submission"), F.col(key).cast("string").alias(key), "sites")
 
 
-def write_predictions(records: DataFrame, path: str, team: str, email: str, version: str) -> None:
-    """Validated records as JSON lines; Spark's commit protocol keeps readers from seeing a partial result."""
-    write_rows(prediction_lines(records, team, email, version), path, "overwrite")
+def write_predictions(records: DataFrame, path: str, team: str, email: str, version: str, expected: DataFrame | None = None) -> None:
+    """Records as JSON lines, written only if ``validate_predictions`` finds nothing wrong with them (and, with ``expected``, no
+    image missing or extra); Spark's commit protocol keeps readers from seeing a partial result."""
+    lines = prediction_lines(records, team, email, version)
+    problems = validate_predictions(lines.select("schema_version", "submission.*", "image_id", "sites"), expected)
+    found = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first")).collect()  # a few kinds of problem
+    if found:
+        raise ValueError("; ".join(f"{r.problem}: {r.n} images, first {r['first']}" for r in sorted(found, key=lambda r: r.problem)))
+    write_rows(lines, path, "overwrite")
 
 
 def keypoint_index(site: Column, joint: Column) -> Column:
