@@ -307,3 +307,28 @@ def test_guard_takes_repeated_sidecars(spark):
     cars = spark.createDataFrame([("S001", "d", "g", True), ("S001", "d", "g", False)], "stem string, dir string, generator string, readable boolean")
     got = {r.name: r.reason for r in publish_guard(images, cars, ["e"]).collect()}
     assert got == {"S001.png": "sidecar unreadable", "S002.png": "no generator sidecar"}
+
+
+def test_poisson_weights_have_mean_and_variance_one(spark):
+    from siteval.functions.hashing import poisson_weights
+    d = spark.range(40).select(F.explode(poisson_weights(500, 0, F.col("id"))).alias("w"))
+    r = d.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v"), F.max("w").alias("top")).first()
+    assert abs(r.m - 1) < 0.03 and abs(r.v - 1) < 0.06 and r.top >= 5
+
+
+def test_id_windows_of_sparse_ids(spark):
+    from siteval.operators.ordering import id_window_groups
+    ids = [g * 10**12 + i * 50 for g in range(30) for i in range(3)]
+    rows = {r.id: (r.grp, r.dropped) for r in id_window_groups(spark.createDataFrame([(i,) for i in ids], "id long"), "id").collect()}
+    assert rows == {i: (i // 10**12 * 10**12, False) for i in ids}
+
+
+def test_predictions_are_validated_before_the_write(spark, tmp_path):
+    import os
+
+    from siteval.sources.writers import write_predictions
+    sites = "array<struct<body_region:string,laterality:string,injury_type:string>>"
+    bad = spark.createDataFrame([("a", [("arm", "left", "no such class")])], f"image_id string, sites {sites}")
+    with pytest.raises(ValueError, match="injury_type: 1 images, first a; site count"):
+        write_predictions(bad, str(tmp_path / "out"), "team", "a@b", "1")
+    assert not os.path.exists(tmp_path / "out")
