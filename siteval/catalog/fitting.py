@@ -187,7 +187,8 @@ def _(spark, sf):
     limb = design(spark, sf, limb=True)
     def pair(x):
         return M.with_folds(x.filter("split = 'dev'"), "scene"), x.filter("split = 'eval'")
-    return S.experiment_grid({"site": pair(d), "site+limb": pair(limb)})
+    grid = S.experiment_grid({"site": pair(d), "site+limb": pair(limb)})
+    return grid.select("*", F.explode("by_position").alias("position", "position_acc")).drop("by_position")
 
 
 @query("M23_compare_feature_blocks")
