@@ -100,6 +100,20 @@ def test_chains_follow_order_and_break_at_gaps():
     assert passages.chains(np.array([1, 2, 300]), np.array([1, 2, 300]))[0].tolist() == [0, 1]
 
 
+def test_dissimilar_chain_is_split(spark):
+    """Two exact passages with another stretch between are found apart, whatever the share of the whole."""
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for k in range(40):
+        one, two = prose(rng, 52, 10**6), prose(rng, 52, 10**6)
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, f"{prose(rng, 40, 10**6)} {one} {prose(rng, 36, 10**6)} {two} {prose(rng, 40, 10**6)}"))
+        want[2 * k + 1] = set(range(40, 92)) | set(range(128, 180))
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [8, 34, 1 << 20])
 def test_separator_scan_over_block_edges(spark, block):
     rows = corpus()
