@@ -114,6 +114,24 @@ def test_dissimilar_chain_is_split(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n, edits", [(60, 6), (60, 9), (60, 12), (60, 14), (100, 20), (100, 24)])
+def test_edited_passages_are_found(spark, n, edits):
+    rng, rows = np.random.default_rng(12), []
+    for k in range(40):
+        own = prose(rng, n, 10**6).split()
+        other = list(own)
+        for i in rng.choice(n, edits, replace=False):
+            other[i] = f"edit{rng.integers(10**9)}"
+        rows += [(2 * k + j, f"{prose(rng, 60, 10**6)} {' '.join(w)} {prose(rng, 60, 10**6)}") for j, w in enumerate((own, other))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.ref_id == r.doc_id - 1} == set(range(1, 80, 2))
+
+
+def test_chain_of_a_later_passage_is_not_hidden():
+    pos, ref = np.append(np.arange(60), [1000, 1010, 1020, 1030]), np.append(np.arange(60), [1001, 1011, 990, 1031])
+    assert [c.tolist() for c in passages.chains(pos, ref)][1] == [60, 61, 63]
+
+
 @pytest.mark.parametrize("block", [8, 34, 1 << 20])
 def test_separator_scan_over_block_edges(spark, block):
     rows = corpus()
