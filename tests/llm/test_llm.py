@@ -4,6 +4,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,33 @@ def test_edited_passages_are_found(spark, n, edits):
     assert {r.doc_id for r in got if r.ref_id == r.doc_id - 1} == set(range(1, 80, 2))
 
 
+def test_passage_whose_parts_lie_in_earlier_documents(spark):
+    rng, rows, want = np.random.default_rng(13), [], {}
+    for k in range(0, 120, 4):
+        whole = prose(rng, 60, 10**6).split()
+        for i, w in enumerate((whole[:32], whole[28:], whole, whole)):
+            rows.append((k + i, f"{prose(rng, 40, 10**6)} {' '.join(w)} {prose(rng, 40, 10**6)}"))
+        want[k + 3] = set(range(40, 100))
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_matches_over_batch_edges(size):
+    rng = np.random.default_rng(14)
+    rows = sorted({(int(s), int(d), int(p)) for s, d, p in zip(rng.integers(0, 6, 300), rng.integers(0, 9, 300), rng.integers(0, 5, 300))})
+    want = []
+    for s, d, p in rows:
+        group = [r for r in rows if r[0] == s]
+        before = [r for r in group if r[1] < d]
+        want += [(d, p, *group[0][1:])] if d != group[0][1] else []
+        want += [(d, p, *before[-1][1:])] if s % 2 and before and before[-1][1] != group[0][1] else []
+    cut = [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], names=["seed", "doc", "pos"]) for i in range(0, len(rows), size)]
+    assert sorted(tuple(r.values()) for b in passages._matched(cut) for r in b.to_pylist()) == sorted(want)
+
+
 def test_chain_of_a_later_passage_is_not_hidden():
     pos, ref = np.append(np.arange(60), [1000, 1010, 1020, 1030]), np.append(np.arange(60), [1001, 1011, 990, 1031])
     assert [c.tolist() for c in passages.chains(pos, ref)][1] == [60, 61, 63]
