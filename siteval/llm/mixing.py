@@ -1,13 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed to cells of source, language and topic. The cells are raked until their sums meet the target
-shares of all three; the ratio of fitted to original tokens of a cell is the weight of its documents, and a document is
+shares of all three or, where temperature targets contradict each other, come as near as they can; the ratio of fitted to original tokens of a cell is the weight of its documents, and a document is
 drawn with a probability in proportion to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteval.functions.hashing import uniform
@@ -17,10 +18,12 @@ from siteval.runtime import case
 AXES = ("source", "lang", "topic")
 #: target shares follow the token shares to this power: 1 keeps them, 0 makes all values of an axis equal
 TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 1.0}
-#: rounds of raking, and the relative error of every margin at which it ends
-ROUNDS, TOLERANCE = 50, 1e-6
+#: the relative error of every margin at which raking ends
+TOLERANCE = 1e-6
 #: rounds in a row in which the error hardly falls (less than a thousandth) after which targets count as contradictory
 STALLED = 3
+#: cells that the driver rakes by itself; more are raked by Spark, with the same rules
+LOCAL = 200_000
 NONE = "(none)"
 
 
@@ -50,33 +53,103 @@ def targets_of(cells: DataFrame, axis: str, share: float | dict) -> DataFrame:
     return wanted.select(axis, (F.col("raw") / F.lit(whole)).alias("target"))
 
 
-def rake(cells: DataFrame, shares: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with fitted shares ``w`` whose sums over each axis meet its targets. Every step is an aggregation and a join on the
-    axis, so the number of values of an axis is not bounded by a task or the driver. Raises if the margins cannot be met."""
+class _Local:
+    """Weights of cells on the driver."""
+
+    def __init__(self, cells: DataFrame, goal: dict):
+        self.cells = cells.toPandas()
+        self.n = self.cells.n.to_numpy(float)
+        self.codes, self.goal = {}, {}
+        for a, g in goal.items():
+            names, self.codes[a] = np.unique(self.cells[a].to_numpy(), return_inverse=True)
+            self.goal[a] = g.toPandas().set_index(a).target.loc[names].to_numpy()
+
+    def start(self):
+        return self.n / self.n.sum()
+
+    def factors(self, w, axis):
+        m = np.bincount(self.codes[axis], w)
+        return np.divide(self.goal[axis], m, out=np.zeros(len(m)), where=m > 0)[self.codes[axis]], m
+
+    def scaled(self, w, axes, power):
+        return w * np.prod([self.factors(w, a)[0] ** power for a in axes], axis=0)
+
+    def off(self, w):
+        """The largest relative error of a margin, and the sum over the axes of the divergence of margins from targets."""
+        pairs = [(self.factors(w, a)[1], self.goal[a]) for a in self.goal]
+        gap = lambda m, t: np.where(m > 0, m * np.log(np.maximum(m, 1e-300) / np.maximum(t, 1e-300)), 0.0) - m + t
+        return max(float((np.abs(m - t) / np.maximum(t, 1e-12)).max()) for m, t in pairs), sum(float(gap(m, t).sum()) for m, t in pairs)
+
+    def result(self, w):
+        return settled(SparkSession.active().createDataFrame(self.cells[[*AXES, "n"]].assign(w=w), "source string, lang string, topic string, n long, w double"), "raked")
+
+
+class _Spread:
+    """Weights of cells in tables: every step is an aggregation and a join on the axis, so the number of values of an axis is not bounded."""
+
+    def __init__(self, cells: DataFrame, goal: dict):
+        self.cells, self.goal = cells, goal
+
+    def start(self):
+        return self.cells.withColumn("w", F.col("n") / F.lit(float(self.cells.agg(F.sum("n")).first()[0])))
+
+    def scaled(self, w, axes, power):
+        for a in axes:
+            m = w.groupBy(a).agg(F.sum("w").alias("m")).join(self.goal[a], a).select(a, F.when(F.col("m") > 0, F.pow(F.col("target") / F.col("m"), F.lit(float(power)))).otherwise(0.0).alias(f"f_{a}"))
+            w = w.join(m, a)
+        f = F.lit(1.0)
+        for a in axes:
+            f = f * F.col(f"f_{a}")
+        return settled(w.select(*AXES, "n", (F.col("w") * f).alias("w")), "raked")
+
+    def off(self, w):
+        worst, total = 0.0, 0.0
+        for a, goal in self.goal.items():
+            m = w.groupBy(a).agg(F.sum("w").alias("m")).join(goal, a)
+            gap = F.when(F.col("m") > 0, F.col("m") * F.log(F.col("m") / F.greatest("target", F.lit(1e-300)))).otherwise(0.0) - F.col("m") + F.col("target")
+            r = m.agg(F.max(F.abs(F.col("m") - F.col("target")) / F.greatest("target", F.lit(1e-12))).alias("e"), F.sum(gap).alias("d")).first()
+            worst, total = max(worst, r.e), total + r.d
+        return worst, total
+
+    def result(self, w):
+        return w
+
+
+def rake(cells: DataFrame, shares: dict, tolerance: float = TOLERANCE, local: int = LOCAL) -> DataFrame:
+    """Cells with fitted shares ``w`` whose sums over each axis meet its targets, and ``off``, the largest relative error of a sum.
+
+    Temperature targets may contradict each other, where a source and a language occur only together. They then end with the best
+    fit: the sum over the axes of the divergence (Kullback-Leibler) of sums from targets is the least. Where a share is
+    given by value, margins that cannot be met raise a ValueError. Raking goes on as long as the error falls."""
     cells = settled(cells.filter("n > 0"), "cells")
     if cells.isEmpty():
-        return cells.withColumn("w", F.lit(0.0))
+        return cells.withColumns({"w": F.lit(0.0), "off": F.lit(0.0)})
     goal = {a: settled(targets_of(cells, a, s), f"target-{a}") for a, s in shares.items()}
-    w = cells.withColumn("w", F.col("n").cast("double"))
-    last, stalled = float("inf"), 0
-    for done in range(1, rounds + 1):
+    own = (_Local if cells.count() <= local else _Spread)(cells, goal)
+    w, last, stalled, done = own.start(), float("inf"), 0, 0
+    while stalled < STALLED:
         for axis in shares:
-            margin = w.groupBy(axis).agg(F.sum("w").alias("m")).join(goal[axis], axis).withColumn("f", F.when(F.col("m") > 0, F.col("target") / F.col("m")).otherwise(0.0))
-            w = w.join(margin.select(axis, "f"), axis).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        w = settled(w, "raked")
-        off = [w.groupBy(a).agg(F.sum("w").alias("m")).join(goal[a], a).select((F.abs(F.col("m") - F.col("target")) / F.greatest("target", F.lit(1e-12))).alias("e")) for a in shares]
-        worst = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("e").alias("e")).first().e
+            w = own.scaled(w, [axis], 1.0)
+        done += 1
+        worst, _ = own.off(w)
         if worst <= tolerance:
-            return w
+            return own.result(w).withColumn("off", F.lit(worst))
         stalled = stalled + 1 if worst >= 0.999 * last else 0
         last = worst
-        if stalled == STALLED:
-            break
-    raise ValueError(f"margins off by {worst:.3g} after {done} rounds: targets and cells contradict each other")
+    if any(isinstance(s, dict) for s in shares.values()):
+        raise ValueError(f"margins off by {worst:.3g} after {done} rounds: targets and cells contradict each other")
+    # All axes at once, each with its part of the exponent: this comes to the best fit also where there is no exact one.
+    w, last, stalled = own.start(), float("inf"), 0
+    while stalled < STALLED:
+        w = own.scaled(w, list(shares), 1.0 / len(shares))
+        worst, gap = own.off(w)
+        stalled = stalled + 1 if gap >= (1 - 1e-6) * last else 0
+        last = gap
+    return own.result(w).withColumn("off", F.lit(worst))
 
 
 def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", shares: dict | None = None, rate: float = 1.0, seed: int = 0) -> DataFrame:
-    """All columns of ``documents`` and _tokens, _topic, _weight (fitted over original share of its cell), _probability, _kept.
+    """All columns of ``documents`` and _tokens, _topic, _weight (fitted over original share of its cell), _off (error of the margins), _probability, _kept.
 
     The probability is ``rate`` times the weight over the largest weight: the largest sample in which no document is drawn
     more than once and whose expected token shares meet all targets. The draw is a hash of the id, so it repeats. Null
@@ -85,13 +158,13 @@ def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", shares:
     own = documents.withColumns({"_tokens": tokens_of(F.col(text)), "_topic": topic_of(F.col(text))})
     axes = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}
     fitted = rake(cells_of(own, F.col("_tokens"), axes), shares or TEMPERATURE)
-    whole = fitted.agg(F.sum("n").alias("all"), F.max(F.col("w") / F.col("n")).alias("top")).first()
+    whole = fitted.agg(F.sum("n").alias("all"), F.max(F.col("w") / F.col("n")).alias("top"), F.max("off").alias("off")).first()
     weight = fitted.select(*[F.col(a).alias(f"_{a}") for a in ("source", "lang")], F.col("topic").alias("_of"), (F.col("w") / F.col("n") * F.lit(whole["all"])).alias("_weight"), (rate * F.col("w") / F.col("n") / F.lit(whole["top"])).alias("_probability"))
     on = (F.coalesce(F.col("source").cast("string"), F.lit(NONE)) == F.col("_source")) & (F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) == F.col("_lang")) & (F.col("_topic") == F.col("_of")) & (F.col("_tokens") > 0)
-    joined = own.join(weight, on, "left").drop("_source", "_lang", "_of").withColumns({"_weight": F.coalesce("_weight", F.lit(0.0)), "_probability": F.coalesce("_probability", F.lit(0.0))})
+    joined = own.join(weight, on, "left").drop("_source", "_lang", "_of").withColumns({"_off": F.lit(whole["off"] or 0.0), "_weight": F.coalesce("_weight", F.lit(0.0)), "_probability": F.coalesce("_probability", F.lit(0.0))})
     return joined.withColumn("_kept", uniform(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))) < F.col("_probability"))
 
 
 def query(spark, sf_dir):
     got = mixed(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "source", "lang", *[F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "kept")])
+    return got.select("doc_id", "source", "lang", *[F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "off", "probability", "kept")])

@@ -191,6 +191,23 @@ def test_rake_meets_margins_and_draws_by_weight(spark):
         mixing.mixed(docs.filter("doc_id < 10").withColumn("lang", F.when(F.col("source") == "s0", "en").otherwise("de")), shares={"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": 1.0})
 
 
+@pytest.mark.parametrize("local", [0, mixing.LOCAL])
+def test_contradictory_temperatures_end_with_the_best_fit(spark, local):
+    cells = spark.createDataFrame([("a", "en", "prose", 100), ("b", "de", "prose", 900)], "source string, lang string, topic string, n long")
+    got = {r.source: r for r in mixing.rake(cells, mixing.TEMPERATURE, local=local).collect()}
+    # Least divergence of (w, 1 - w) from both pairs of targets: the odds are their geometric mean.
+    odds = 9.0 ** ((0.7 + 0.8) / 2)
+    assert abs(got["b"].w / got["a"].w - odds) < 1e-3 * odds and got["a"].off > 0.01
+    with pytest.raises(ValueError, match="margins"):
+        mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": 0.8, "topic": 1.0}, local=local)
+
+
+def test_slow_margins_are_met(spark):
+    cells = spark.createDataFrame([("a", "en", "p", 1_000_000), ("a", "de", "p", 1000), ("b", "en", "p", 1000), ("b", "de", "p", 1_000_000)], "source string, lang string, topic string, n long")
+    got = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.31, "de": 0.69}, "topic": 1.0}).toPandas()
+    assert abs(got[got.source == "a"].w.sum() - 0.7) < 1e-5 and abs(got[got.lang == "en"].w.sum() - 0.31) < 1e-5
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(4)
     for _ in range(20):
