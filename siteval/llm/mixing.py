@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed to cells of source, language and topic. The cells are raked until their sums meet the target
-shares of all three or, where temperature targets contradict each other, come as near as they can; the ratio of fitted to original tokens of a cell is the weight of its documents, and a document is
-drawn with a probability in proportion to it.
+shares of all three or, where temperature targets contradict each other, come as near as they can. The ratio of fitted to
+original tokens of a cell is the weight of its documents, and a document is taken that many times on average.
 """
 
 from __future__ import annotations
@@ -149,7 +149,12 @@ def rake(cells: DataFrame, shares: dict, tolerance: float = TOLERANCE, local: in
 
 
 def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", shares: dict | None = None, rate: float = 1.0, seed: int = 0) -> DataFrame:
-    """All columns of ``documents`` and _tokens, _topic, _weight (fitted over original share of its cell), _off (error of the margins), _probability, _kept.
+    """All columns of ``documents`` and _tokens, _topic, _weight (fitted over original share of its cell), _off (error of the margins),
+    _copies, _probability, _kept.
+
+    _copies is how often a document is taken: ``rate`` times its weight, the whole part for certain and one more with the remainder as
+    probability. The expected tokens are ``rate`` times all tokens and their shares are the fitted ones, and a rare cell repeats
+    instead of thinning out the others. _probability and _kept are for a sample without repeats, which the rarest cell bounds.
 
     The probability is ``rate`` times the weight over the largest weight: the largest sample in which no document is drawn
     more than once and whose expected token shares meet all targets. The draw is a hash of the id, so it repeats. Null
@@ -162,9 +167,16 @@ def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", shares:
     weight = fitted.select(*[F.col(a).alias(f"_{a}") for a in ("source", "lang")], F.col("topic").alias("_of"), (F.col("w") / F.col("n") * F.lit(whole["all"])).alias("_weight"), (rate * F.col("w") / F.col("n") / F.lit(whole["top"])).alias("_probability"))
     on = (F.coalesce(F.col("source").cast("string"), F.lit(NONE)) == F.col("_source")) & (F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) == F.col("_lang")) & (F.col("_topic") == F.col("_of")) & (F.col("_tokens") > 0)
     joined = own.join(weight, on, "left").drop("_source", "_lang", "_of").withColumns({"_off": F.lit(whole["off"] or 0.0), "_weight": F.coalesce("_weight", F.lit(0.0)), "_probability": F.coalesce("_probability", F.lit(0.0))})
-    return joined.withColumn("_kept", uniform(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))) < F.col("_probability"))
+    draw, times = uniform(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.lit(rate) * F.col("_weight")
+    copies = F.floor(times) + (draw < times - F.floor(times)).cast("long")
+    return joined.withColumns({"_copies": copies, "_kept": draw < F.col("_probability")})
+
+
+def repeated(weighted: DataFrame) -> DataFrame:
+    """The rows of ``mixed``, each as often as its _copies say."""
+    return weighted.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy")
 
 
 def query(spark, sf_dir):
     got = mixed(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "source", "lang", *[F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "off", "probability", "kept")])
+    return got.select("doc_id", "source", "lang", *[F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "off", "copies", "probability", "kept")])

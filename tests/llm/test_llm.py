@@ -203,9 +203,17 @@ def test_contradictory_temperatures_end_with_the_best_fit(spark, local):
 
 
 def test_slow_margins_are_met(spark):
-    cells = spark.createDataFrame([("a", "en", "p", 1_000_000), ("a", "de", "p", 1000), ("b", "en", "p", 1000), ("b", "de", "p", 1_000_000)], "source string, lang string, topic string, n long")
-    got = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.31, "de": 0.69}, "topic": 1.0}).toPandas()
-    assert abs(got[got.source == "a"].w.sum() - 0.7) < 1e-5 and abs(got[got.lang == "en"].w.sum() - 0.31) < 1e-5
+    cells = spark.createDataFrame([("a", "en", "p", 1_000_000), ("a", "de", "p", 30_000), ("b", "en", "p", 30_000), ("b", "de", "p", 1_000_000)], "source string, lang string, topic string, n long")
+    got = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.69, "de": 0.31}, "topic": 1.0}).toPandas()
+    assert abs(got[got.source == "a"].w.sum() - 0.7) < 1e-5 and abs(got[got.lang == "en"].w.sum() - 0.69) < 1e-5
+
+
+def test_rare_cells_repeat_and_others_keep_their_rate(spark):
+    rows = [(i, "x" * 400, "en", f"s{i % 20}") for i in range(20_000)] + [(20_000, "x" * 400, "en", "rare")]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    taken = mixing.repeated(got).groupBy("source").count().toPandas().set_index("source")["count"]
+    want = 20_001 / (20 * 1000**0.7 + 1)
+    assert abs(taken["rare"] - want) <= 1 and taken["rare"] > 1 and taken.drop("rare").sum() > 0.98 * 20_000
 
 
 def test_boundaries_are_optimal():
