@@ -15,19 +15,10 @@ from siteval.llm.common import table
 from siteval.llm.mixing import tokens_of
 
 BUCKETS, BUDGET = 16, 65_536
-#: lengths are rounded up to a multiple of STEP, and above FINE * STEP to 1 / FINE of their power of two: FINE values an octave at most
-STEP, FINE = 8, 128
 #: documents of a bucket that one task sorts
 PART = 250_000
 
 
-def rounded(length: Column) -> Column:
-    """The padded length that a document may get at least; few enough distinct values for a histogram on the driver, whatever the lengths."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.greatest(F.lit(STEP).cast("long"), (F.pow(F.lit(2.0), octave) / FINE).cast("long"))
-    return (F.ceil(F.greatest(length, F.lit(1)) / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """At most ``buckets`` ascending boundaries out of ``lengths`` (ascending, distinct), the last one the largest: every document is
     padded to the first boundary not below its length, and the sum of paddings is the least possible. Ties take the smaller boundary."""
@@ -41,10 +32,18 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     for _ in range(min(buckets, n)):
         now, how = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         now[0] = 0.0
-        for j in range(1, n + 1):
-            c = cost[:j] + (docs[j] - docs[:j]) * float(lengths[j - 1])
-            how[j] = c.argmin()
-            now[j] = c[how[j]]
+        # The best split never moves left as j grows, so the middle one bounds those on either side.
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            lo, hi, least, most = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            end = min(most + 1, j)
+            c = cost[least:end] + (docs[j] - docs[least:end]) * float(lengths[j - 1])
+            how[j] = least + c.argmin()
+            now[j] = c[how[j] - least]
+            todo += [(lo, j - 1, least, int(how[j])), (j + 1, hi, int(how[j]), most)]
         cost = now
         back.append(how)
     out, j = [], n
@@ -61,13 +60,12 @@ def packed(documents: DataFrame, key: str = "doc_id", text: str = "text", bucket
     A batch holds as many documents as fit the budget when padded, one at least: a document longer than the budget is a batch of
     its own. Null and empty texts count one token (the end id). Rows with equal ids and lengths are told apart by their order;
     they stay separate documents. An empty table gives an empty result."""
-    rows = documents.select(F.col(key).alias("doc_id"), F.greatest(tokens_of(F.col(text)), F.lit(1).cast("long")).alias("n_tokens")).withColumn("length", rounded(F.col("n_tokens")))
-    histogram = sorted((r["length"], r["count"]) for r in rows.groupBy("length").count().collect())  # FINE values an octave at most
-    edges = boundaries(np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64), buckets)
-    if not edges:
-        edges = [STEP]
-    place = F.aggregate(F.array(*[F.lit(e).cast("long") for e in edges]), F.lit(0), lambda n, e: n + F.when(e < F.col("length"), 1).otherwise(0))
-    total = sum(h[1] for h in histogram)
+    rows = documents.select(F.col(key).alias("doc_id"), F.greatest(tokens_of(F.col(text)), F.lit(1).cast("long")).alias("n_tokens"))
+    # T tokens have at most the square root of 2 T distinct lengths.
+    histogram = rows.groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
+    edges = boundaries(histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets) or [1]
+    place = F.aggregate(F.array(*[F.lit(e).cast("long") for e in edges]), F.lit(0), lambda n, e: n + F.when(e < F.col("n_tokens"), 1).otherwise(0))
+    total = int(histogram["count"].sum())
     parts = max(1, -(-total // PART))
     draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens")
     own = rows.withColumn("bucket", place).withColumn("draw", draw).withColumn("part", F.pmod("draw", F.lit(parts)).cast("int"))

@@ -226,6 +226,11 @@ def test_boundaries_are_optimal():
         assert pad(packing.boundaries(lengths, counts, 3)) == best
 
 
+def test_equal_lengths_need_no_padding(spark):
+    got = packing.packed(spark.createDataFrame([(i, "y" * 36) for i in range(50)] + [(90, "y" * 8001)], "doc_id long, text string"), budget=90).collect()
+    assert all(r.boundary == r.n_tokens for r in got) and max(r.slot for r in got) == 9
+
+
 def test_batches_hold_the_budget(spark):
     rows = spark.createDataFrame([(i % 300, "y" * (7 * i % 4001)) for i in range(900)] + [(None, None), (1, "z" * 900_000)], "doc_id long, text string")
     got = packing.packed(rows, buckets=5, budget=4000).toPandas()
