@@ -211,10 +211,10 @@ _MET_SCHEMA = pa.schema([(c, pa.int64() if c in "ab" else pa.int32()) for c in _
 
 def _long_lists(rows: DataFrame, threshold: int) -> DataFrame:
     """Pairs of holders of common shingles with the number that they share, counted in blocks: lists with the same hub meet in one group,
-    so a pair is given out once for all shingles of a hub instead of once for each."""
+    so a pair is given out once for all shingles of a hub instead of once for each. The blocks of a hub divide the holders of all its lists."""
     hubs = rows.groupBy("token").agg(F.max(F.struct("central", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
     own = rows.join(hubs, "token")
-    sizes = own.groupBy("hub").agg(F.max("c").alias("most")).select("hub", F.ceil(F.col("most") / PAIR_BLOCK).cast("int").alias("blocks"))
+    sizes = own.select("hub", "node").distinct().groupBy("hub").agg(F.count(F.lit(1)).alias("most")).select("hub", F.ceil(F.col("most") / PAIR_BLOCK).cast("int").alias("blocks"))
     placed = own.join(sizes, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = placed.select("hub", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "token", "node", "n", "level", "need", "root", "total")
     return sides.groupBy("hub", "lo", "hi").applyInArrow(_block_counts(threshold), ", ".join(f"{c} {'long' if c in 'ab' else 'int'}" for c in _MET))

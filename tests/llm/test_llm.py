@@ -73,6 +73,18 @@ def test_jaccard_prefix_grows_with_cost():
     assert jaccard.need_of(np.full(100, 1000.0), 100, 75) > 1
 
 
+def test_blocks_divide_the_holders_of_all_lists_of_a_hub(spark, monkeypatch):
+    def held(threshold):
+        schema, names = jaccard._MET_SCHEMA, jaccard._MET
+        return lambda t: pa.table({c: pa.array([len(set(t["node"].to_pylist())) if c == "a" else 0], schema.field(c).type) for c in names}, schema=schema)
+
+    monkeypatch.setattr(jaccard, "_block_counts", held)
+    monkeypatch.setattr(jaccard, "PAIR_BLOCK", 20)
+    rows = [(t, 0 if i == 0 else 100 * t + i, 30, 1, 1, 0, 1, 9 if i == 0 else 1, 20) for t in range(1, 21) for i in range(20)]
+    got = jaccard._long_lists(spark.createDataFrame(rows, "token long, node long, n int, level int, need int, root long, total int, central int, c long"), 75).collect()
+    assert len(got) > 1 and max(r.a for r in got) <= 100
+
+
 def test_passages_cover_all_exact_repeats(spark):
     rows = corpus()
     word = {r[0]: (r[1] or "").encode().lower().split() for r in rows}
