@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from siteval.llm import alignment, jaccard, langid, lattice, mixing, packing, passages, polytope, runs, shuffle, tokens, warc
+from siteval.llm import alignment, jaccard, langid, lattice, mixing, packing, passages, polytope, runs, secrets, shuffle, tokens, warc
 
 QUERIES = {
     "op1_separator_scan": tokens.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_external_shuffle": shuffle.query,
     "op9_byte_cnn_language": langid.query,
     "op10_collinear_passages": passages.query,
+    "op11_secret_scan": secrets.query,
     "op12_tokenizer_alignment": alignment.query,
     "op13_periodic_runs": runs.query,
 }
