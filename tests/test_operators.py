@@ -192,11 +192,17 @@ def test_auc_counts_ties_half(spark):
 
 
 def test_id_windows_span_bucket_edges(spark):
-    ids = [0, 90, 180, 400, 460, 1000]
+    # Enough ids for many ranges: groups of 7 neighbours cross the edges of ranges, gaps of 101 end groups and gaps of 100 do not.
+    ids, at = [], 0
+    for i in range(3000):
+        ids.append(at)
+        at += 101 if i % 7 == 6 else 100
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = {r["id"]: r["grp"] for r in ordering.id_window_groups(df, "id", 100, 2, span=100).collect()}
-    assert got == {0: 0, 90: 0, 180: 0, 400: 400, 460: 400, 1000: 1000}
-    assert all(r["dropped"] for r in ordering.id_window_groups(df, "id", 100, 20, span=100).collect())
+    got = {r["id"]: r["grp"] for r in ordering.id_window_groups(df, "id", 100, 2).collect()}
+    assert got == {v: ids[i - i % 7] for i, v in enumerate(ids)}
+    few = spark.createDataFrame([(i,) for i in (0, 90, 180, 400, 460, 1000)], "id long")
+    assert {r["id"]: r["grp"] for r in ordering.id_window_groups(few, "id", 100, 2).collect()} == {0: 0, 90: 0, 180: 0, 400: 400, 460: 400, 1000: 1000}
+    assert all(r["dropped"] for r in ordering.id_window_groups(few, "id", 100, 20).collect())
 
 
 def test_fits_reach_the_same_optimum(spark):
