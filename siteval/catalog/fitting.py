@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siteval import fixtures as V
 from siteval.catalog import query
 from siteval.catalog.order import ledger_input
-from siteval.constants import FEATURES
+from siteval.constants import C_GRID, FEATURES
 from siteval.functions import features as X
 from siteval.functions import labels as L
 from siteval.functions import probs as P
@@ -14,7 +14,7 @@ from siteval.operators import layer as M
 from siteval.operators import sites as O
 from siteval.operators import studies as S
 from siteval.operators.metrics import cutoff_agreement
-from siteval.operators.multifit import Fit
+from siteval.operators.multifit import GRADIENT, Fit
 from siteval.plans import adaptation, batch, scorer
 
 
@@ -52,6 +52,19 @@ def _(spark, sf):
     return spark.createDataFrame([(C, acc)], "C double, acc double")
 
 
+_GRID = "(VALUES " + ", ".join(f"(CAST({C} AS DOUBLE))" for C in C_GRID) + ") AS t(C)"
+
+
+@query("M4_penalty_path", f"SELECT C, (SELECT count(*) FROM v_sites) AS n, true AS at_optimum, true AS chosen_not_below FROM {_GRID}")
+def _(spark, sf):
+    """Every penalty holds out each site once, its fits end where the gradient vanishes, and none beats the chosen one."""
+    d = M.with_folds(design(spark, sf), "grp").persist()
+    path = M.penalty_path(d)
+    d.unpersist()
+    top = path[M.best_C(path)]["acc"]
+    return spark.createDataFrame([(float(C), r["rows"], r["gradient"] <= GRADIENT, r["acc"] <= top) for C, r in path.items()], "C double, n long, at_optimum boolean, chosen_not_below boolean")
+
+
 @query("M5_oof_predict")
 def _(spark, sf):
     d = design(spark, sf)
@@ -187,8 +200,7 @@ def _(spark, sf):
     limb = design(spark, sf, limb=True)
     def pair(x):
         return M.with_folds(x.filter("split = 'dev'"), "scene"), x.filter("split = 'eval'")
-    grid = S.experiment_grid({"site": pair(d), "site+limb": pair(limb)})
-    return grid.select("*", F.explode("by_position").alias("position", "position_acc")).drop("by_position")
+    return S.experiment_grid({"site": pair(d), "site+limb": pair(limb)})
 
 
 @query("M23_compare_feature_blocks")

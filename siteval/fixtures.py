@@ -90,15 +90,20 @@ def _site_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(orders.selectExpr(*[f"{e} AS {c}" for c, e in _BASE]), _SITES)
 
 
-def _sealed(df: DataFrame) -> DataFrame:
-    """Emit the columns from a generator, so that filters and projections on the nested records refer to their values instead of
+def _sealed(df: DataFrame, columns) -> DataFrame:
+    """Emit plain columns from a generator, so that expressions over them refer to their values instead of
     being rewritten into copies of the whole derivation. Only the record view needs it: the plain site view is left open, so
     what a query does not use is pruned down to the scan."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+_MEASURES = [f"{m}_{c}" for m in "rst" for c in ("vis", "wound", "stump")] + ["lfrac", "bg", "ext_px", "tq_px", "torso", "e_bg", "e_occ", "e_torso", "e_other", "e_edge", "amodal", "psum", "vom", "cause", "has_side", "has_true"]
 
 
 def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sites`` plus measurement records ``raw`` (predicted), ``raw_side`` and ``raw_true`` as structs."""
+    """``sites`` plus measurement records ``raw`` (predicted), ``raw_side`` and ``raw_true`` as structs.
+
+    The numbers are sealed, the records are built from them where a query uses them: a field of a record is a plain column."""
     df = _select(_site_stages(spark, sf_dir), _RAW)
     record = """named_struct('vis_px', {v}_vis, 'Lfrac', lfrac, 'bg_frac', bg,
         'end', map('BG', e_bg, 'OCC', e_occ, 'TORSO', e_torso, 'OTHER_LIMB', e_other, 'EDGE', e_edge),
@@ -108,11 +113,11 @@ def raw_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         'wound_px', {v}_wound, 'tq_px', tq_px,
         'limb', named_struct('amodal_px', amodal, 'vis_over_amodal', vom, 'term_peak', q0,
                              'p_cause', array(q0, q1, q2, q3, CAST(px % 10 AS DOUBLE)/10)))"""
-    return _sealed(df.selectExpr(
+    return df.selectExpr(
         *SITE_COLUMNS, "array(p0,p1,p2,p3) AS p", "array(q0,q1,q2,q3) AS q", "cause", "has_side", "has_true",
         record.format(v="r") + " AS raw",
         "CASE WHEN has_side THEN " + record.format(v="s") + " END AS raw_side",
-        "CASE WHEN has_true THEN " + record.format(v="t") + " END AS raw_true"))
+        "CASE WHEN has_true THEN " + record.format(v="t") + " END AS raw_true")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ class Layer:
     intercept: list[float]
     C: float
     base: "Layer | None" = None
+    #: largest mean gradient at the end of the fit, where it is known
+    gradient: float | None = None
 
     def input(self, x: Column) -> Column:
         """What the layer's own coefficients see: the features, or the centred logits of the base layer."""

@@ -169,17 +169,29 @@ def _fold_scores(found: dict, names, k: int, by: str, pooled: bool = False) -> d
     return out
 
 
-def fit_C(df: DataFrame, grid=C_GRID, k: int = 5, balanced: bool = False, x: str = "x", y: str = "y", n: int | None = None) -> tuple[float, float]:
-    """First C with the best mean fold accuracy, and that accuracy. ``df`` has folds."""
+def penalty_path(df: DataFrame, grid=C_GRID, k: int = 5, balanced: bool = False, x: str = "x", y: str = "y", n: int | None = None) -> dict[float, dict]:
+    """C -> mean fold accuracy, held-out rows, and the largest mean gradient at which its fits ended. ``df`` has folds."""
     n = n or width(df, x)
     data = prepared(df, x, y).persist()
     try:
         layers = fit_many(data, {(C, f): Fit(C, f, balanced=balanced) for C in grid for f in range(k)}, n)
-        scores = _fold_scores(holdout(data, {(C, f): (f, m) for (C, f), m in layers.items()}, n), grid, k, "acc")
+        found = holdout(data, {(C, f): (f, m) for (C, f), m in layers.items()}, n)
     finally:
         data.unpersist()
-    best = max(grid, key=lambda C: (scores[C], -list(grid).index(C)))
-    return best, scores[best]
+    scores = _fold_scores(found, grid, k, "acc")
+    return {C: {"acc": scores[C], "rows": int(sum(found[C, f][0] for f in range(k))), "gradient": max(layers[C, f].gradient for f in range(k))} for C in grid}
+
+
+def best_C(path: dict[float, dict]) -> float:
+    """The first C of the best accuracy."""
+    return max(path, key=lambda C: (path[C]["acc"], -list(path).index(C)))
+
+
+def fit_C(df: DataFrame, grid=C_GRID, k: int = 5, balanced: bool = False, x: str = "x", y: str = "y", n: int | None = None) -> tuple[float, float]:
+    """First C with the best mean fold accuracy, and that accuracy. ``df`` has folds."""
+    path = penalty_path(df, grid, k, balanced, x, y, n)
+    best = best_C(path)
+    return best, path[best]["acc"]
 
 
 def oof_predict(df: DataFrame, C: float, evaluation: DataFrame | None = None, k: int = 5, x: str = "x", y: str = "y", balanced: bool = False) -> tuple[DataFrame, dict[int, Layer]]:

@@ -221,6 +221,32 @@ def test_fits_reach_the_same_optimum(spark):
         assert _objective(other, X, y, 0.3, True) >= best - 1e-9
 
 
+def test_many_fits_share_few_passes_and_end_at_their_optima(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(4000, 6)) * [1, 10, 0.1, 1, 1, 1] + [1e4, 0, 5, 0, 0, 0]  # a large offset must not spoil the moments
+    y = ((X - X.mean(0)) / X.std(0) @ rng.normal(size=(6, 4)) + rng.gumbel(size=(4000, 4))).argmax(1)
+    rows = [([float(v) for v in x], int(c), i % 5, False) for i, (x, c) in enumerate(zip(X, y))] + [([float(v) for v in x + 1], int(c), -1, True) for x, c in zip(X[:300], y)]
+    df = spark.createDataFrame(rows, "x array<double>, y int, fold int, src boolean").repartition(4).persist()
+    monkeypatch.setattr(multifit, "_START_ROWS", 500)
+    base = multifit.fit_many(df, {"m": multifit.Fit(0.1)}, 6)["m"]
+    fits = {(C, f): multifit.Fit(C, f) for C in (0.003, 0.1, 3.0) for f in (*range(5), None)}
+    fits |= {("pool", f): multifit.Fit(0.1, f, source_w=1.0, real_w=10.0) for f in range(5)} | {("recal", f): multifit.Fit(0.1, f, base=base) for f in range(5)}
+    log = []
+    got = multifit.fit_many(df, fits, 6, log=log)
+    assert len(log) <= 30 and all(m.gradient <= multifit.GRADIENT for m in got.values())
+    fold = np.arange(4000) % 5
+    for C in (0.003, 0.1, 3.0):
+        m = got[C, 2]
+        own = fold != 2
+        assert np.allclose(m.mean, X[own].mean(0)) and np.allclose(m.scale, X[own].std(0), rtol=1e-6)
+        best = _objective(m, X[own], y[own], C, False)
+        for _ in range(20):
+            other = layer.Layer(m.mean, m.scale, (np.array(m.coef) + rng.normal(scale=0.003, size=(4, 6))).tolist(), m.intercept, C)
+            assert _objective(other, X[own], y[own], C, False) >= best - 1e-7
+    with pytest.raises(ValueError, match="1 labels are missing or outside"):
+        multifit.fit_many(spark.createDataFrame([*rows[:50], ([0.0] * 6, None, 0, False)], df.schema), {"m": multifit.Fit(0.1)}, 6)
+
+
 def _objective(m, X, y, C, balanced):
     Z = (X - np.array(m.mean)) / np.array(m.scale)
     L = Z @ np.array(m.coef).T + np.array(m.intercept)
