@@ -142,15 +142,16 @@ def texts_of(documents: DataFrame, ids: DataFrame, key: str, text: str) -> DataF
     A filter of fixed size drops most other rows before their texts are dealt out. Where so many ids are wanted that it lets
     everything pass, the join alone decides: the result is the same."""
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")
-    marks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).collect()
+    marks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")).toArrow()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    for r in marks:
-        bits[r.w] = r.b
-    seen = documents.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool) if marks else np.zeros(FILTER_BITS, bool))
+    bits[marks["w"].to_numpy()] = marks["b"].to_numpy()
+    seen = documents.sparkSession.sparkContext.broadcast(bits.tobytes())  # FILTER_BITS / 8 bytes
 
     def wanted(batches):
+        held = np.frombuffer(seen.value, np.uint8)
         for b in batches:
-            yield b.filter(pa.array(seen.value[b.column(2).to_numpy()])).select([0, 1])
+            at = b.column(2).to_numpy()
+            yield b.filter(pa.array((held[at >> 3] >> (at & 7) & 1).astype(bool))).select([0, 1])
 
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     return rows.withColumn("p", place).mapInArrow(wanted, "id long, text string").join(ids, "id")

@@ -252,7 +252,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     member = settled(shared.select("token", "node", "n", "level", "need", "central").distinct(), "members")
     names = ["n", "level", "need", "root"]
     for hubs_only in (True, False):
-        own = member.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = settled(connected_components(links), "roots")
+        links = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars: the next round starts from them
+        own = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi")
         open_ = own.join(mixed.select("token", "c"), "token")
         if hubs_only:  # a holder that is not near the hub may be near one of the next
