@@ -147,8 +147,22 @@ def _(spark, sf):
 @query("M14_visible_fraction_regressor")
 def _(spark, sf):
     d = M.with_folds(design(spark, sf), "scene")
-    e = S.visible_fraction_oof(d, "x", "visible_fraction", max_iter=10)
-    return cutoff_agreement(e, "estimate", "visible_fraction", 0.10, by=("split",))
+    return cutoff_agreement(S.visible_fraction_oof(d, "x", "visible_fraction"), "estimate", "visible_fraction", 0.10, by=("split",))
+
+
+@query("M14_estimates_inside", "SELECT split, count(*) AS n, count(*) AS inside FROM v_sites GROUP BY 1")
+def _(spark, sf):
+    """Every site of either split has an estimate between 0 and 1: development out of fold, evaluation from all folds."""
+    d = design(spark, sf)
+    dev = M.with_folds(d.filter("split = 'dev'"), "scene")
+    e = S.visible_fraction_oof(dev.unionByName(d.filter("split = 'eval'").withColumn("fold", F.lit(-1))), "x", "visible_fraction")
+    return e.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("estimate").between(0, 1)).alias("inside"))
+
+
+@query("M14_visible_fraction_arms")
+def _(spark, sf):
+    d = design(spark, sf).select("scene", "site", "split", "y", "x", "visible_fraction")
+    return S.visible_fraction_arms(M.with_folds(d.filter("split = 'dev'"), "scene").drop("split"), d.filter("split = 'eval'").drop("split"), "visible_fraction")
 
 
 @query("M15_pod_curve")

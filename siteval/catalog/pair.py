@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from siteval import fixtures as V
 from siteval.catalog import query
 from siteval.catalog.rows import params
-from siteval.constants import CLASSES, PROVENANCE_KEYS
+from siteval.constants import CLASSES, COST, PROVENANCE_KEYS
 from siteval.functions import probs as P
+from siteval.functions.hashing import poisson_steps
 from siteval.operators import documents as D
 from siteval.operators import groups as G
 from siteval.operators import integrity as I
@@ -17,6 +18,7 @@ from siteval.operators import pixels as X
 from siteval.operators import sites as O
 from siteval.operators.calibration import ensemble
 
+COST_SQL = str([list(r) for r in COST])
 _CLS = "['no_injury','wound','amputation','not_testable']"
 
 
@@ -262,6 +264,25 @@ def _(spark, sf):
     return D.evaluate_documents(documents(spark, sf, "pred_a").filter("image_id % 6 <> 0"), documents(spark, sf, "y")).select("n", "acc", "missing_images")
 
 
+_BELOW = "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in poisson_steps()) + "]"
+_INTERVALS = f"""WITH s AS (SELECT cust, y, pred_a AS p, count(*) AS n FROM v_sites WHERE scene%6<>0 GROUP BY ALL),
+    w AS (SELECT cust, b, len(list_filter({_BELOW}, lambda v: v <= CAST('0x' || substr(md5('0|' || b || '|g|' || cust),1,13) AS UBIGINT) / 4503599627370496.0)) AS w FROM (SELECT DISTINCT cust FROM s) CROSS JOIN range(0,200) AS t(b)),
+    r AS (SELECT b, y, p, CAST(sum(n*w) AS BIGINT) AS n FROM s JOIN w USING (cust) GROUP BY ALL),
+    c AS (SELECT b, c, coalesce(sum(n) FILTER (y=c),0) AS s, coalesce(sum(n) FILTER (p=c),0) AS m, coalesce(sum(n) FILTER (y=c AND p=c),0) AS t FROM r CROSS JOIN range(0,4) AS k(c) GROUP BY ALL),
+    f AS (SELECT b, avg(CASE WHEN s>0 THEN 2.0::DOUBLE*t/(s+m) END) AS f1 FROM c GROUP BY 1),
+    a AS (SELECT b, CAST(sum(n) FILTER (y=p) AS DOUBLE)/sum(n) AS acc, CAST(sum(n * {COST_SQL}[y+1][p+1]) AS DOUBLE)/sum(n) AS cost FROM r GROUP BY 1),
+    m AS (SELECT unnest(['acc','macro_f1','cost']) AS metric, unnest([acc, f1, cost]) AS v FROM a JOIN f USING (b))
+    SELECT metric, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM m GROUP BY 1"""
+
+
+@query("J19_document_intervals", _INTERVALS)
+def _(spark, sf):
+    groups = V.table(spark, sf, "orders").selectExpr("o_orderkey AS image_id", "o_custkey AS grp")
+    r = D.evaluate_documents(documents(spark, sf, "pred_a").filter("image_id % 6 <> 0"), documents(spark, sf, "y"), groups=groups, replicates=200)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(f"{m}_lo", 9).alias("lo"), F.round(f"{m}_hi", 9).alias("hi")) for m in ("acc", "macro_f1", "cost")]))
+    return r.select(each.alias("_e")).select("_e.*")
+
+
 @query("J20_score_document", f"""SELECT subset, count(*) AS n, CAST(count(*) FILTER (y=pred_a) AS DOUBLE)/count(*) AS acc, CAST(count(*) FILTER (y=0) AS DOUBLE)/count(*) AS always_no_injury FROM (
     SELECT y, pred_a, unnest(['all', CASE WHEN NOT ((o_custkey%3<>1) AND (o_orderkey%4=0)) THEN 'clothed' ELSE 'unclothed' END]) AS subset FROM v_sites JOIN orders ON o_orderkey=scene) GROUP BY 1""")
 def _(spark, sf):

@@ -31,9 +31,14 @@ def pick_index(n: Column, *parts) -> Column:
     return F.floor(uniform(*parts) * n).cast("long")
 
 
+def poisson_steps() -> list[float]:
+    """The cumulated Poisson(1) probabilities: a uniform draws as many as it reaches."""
+    return [math.exp(-1) * math.fsum(1 / math.factorial(j) for j in range(k + 1)) for k in range(POISSON_TOP)]
+
+
 def poisson_weights(n: int, seed, key: Column) -> Column:
     """An array of ``n`` Poisson(1) counts that depend only on seed, place and key: how often an item is drawn in each bootstrap replicate."""
-    below = [math.exp(-1) * math.fsum(1 / math.factorial(j) for j in range(k + 1)) for k in range(POISSON_TOP)]
+    below = poisson_steps()
     drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: uniform(seed, b, key))
     return F.transform(drawn, lambda u: F.size(F.filter(F.array(*[F.lit(v) for v in below]), lambda v: v <= u)))
 

@@ -9,7 +9,9 @@ from siteval.constants import CLASSES, SITE_BODY, SITES
 from siteval.functions import probs as P
 from siteval.functions.labels import class_index, class_name, clothed
 from siteval.operators import metrics as M
+from siteval.operators.quantiles import with_scalars
 from siteval.operators.reports import constant_accuracy
+from siteval.operators.resampling import metric_intervals
 from siteval.runtime import case, lookup
 
 
@@ -78,12 +80,24 @@ def validate_predictions(docs: DataFrame, expected: DataFrame | None = None, ver
     return found
 
 
-def evaluate_documents(pred: DataFrame, truth: DataFrame, key: str = "image_id") -> DataFrame:
-    """Metrics over the ids in both documents, with the number of truth ids that have no prediction."""
+def evaluate_documents(pred: DataFrame, truth: DataFrame, key: str = "image_id", groups: DataFrame | None = None, replicates: int = 500, seed: int = 0) -> DataFrame:
+    """Metrics and mean cost over the ids in both documents, with the number of truth ids that have no prediction.
+
+    With ``groups`` (key, grp) also the bootstrap intervals of accuracy, macro F1 and cost over whole groups; an id without a group is one
+    by itself."""
     p = from_predictions(pred, key).select(key, "site", F.col("y").alias("pred"))
     t = from_predictions(truth, key).select(key, "site", "y")
     missing = truth.select(key).distinct().join(pred.select(key), key, "left_anti").agg(F.count(F.lit(1))).scalar()
-    return M.score_metrics(t.join(p, [key, "site"])).select("*", missing.alias("missing_images"))
+    both = t.join(p, [key, "site"])
+    cost = M.cost_per_site(both).select("cost").scalar()
+    out = M.score_metrics(both).select("*", cost.alias("cost"), missing.alias("missing_images"))
+    if groups is None:
+        return out
+    own = groups.select(key, F.concat(F.lit("g|"), F.col("grp").cast("string")).alias("_g"))
+    grouped = both.join(own, key, "left").withColumn("_g", F.coalesce("_g", F.concat(F.lit("i|"), F.col(key).cast("string"))))
+    found = metric_intervals(grouped, "_g", replicates=replicates, seed=seed)
+    wide = found.agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{m}_{e}") for m in ("acc", "macro_f1", "cost") for e in ("lo", "hi")])
+    return with_scalars(out, wide, wide.columns)
 
 
 def score_document(pred: DataFrame, sidecars: DataFrame, threshold: str, wound_rule: str = "visible", key: str = "image_id") -> DataFrame:
