@@ -17,6 +17,7 @@ from siteval.operators import sites as O
 from siteval.catalog.order import ledger_input
 from siteval.runtime import scratch_path
 from siteval.sources import readers as R
+from siteval.sources import workbook as X
 from siteval.sources import writers as W
 
 
@@ -86,9 +87,12 @@ def _(spark, sf):
     return R.from_predictions(rows).select(R.stem(F.col("image_id")).alias("id"), "site", "y")
 
 
-@query("S6_read_labels_two_reader", """SELECT pair AS photo, 'LUE' AS site, CASE WHEN usable_a AND usable_b AND a_l=b_l THEN a_l END AS class FROM v_readers
+_AGREED = """SELECT pair AS photo, 'LUE' AS site, CASE WHEN usable_a AND usable_b AND a_l=b_l THEN a_l END AS class FROM v_readers
     UNION ALL SELECT pair, unnest(['RUE', 'LLE']), CASE WHEN usable_a AND usable_b AND a_r=b_r AND a_r<>'unsure' THEN a_r END FROM v_readers
-    UNION ALL SELECT pair, 'RLE', CASE WHEN usable_a AND usable_b AND a_l=b_r AND a_l<>'unsure' THEN a_l END FROM v_readers""")
+    UNION ALL SELECT pair, 'RLE', CASE WHEN usable_a AND usable_b AND a_l=b_r AND a_l<>'unsure' THEN a_l END FROM v_readers"""
+
+
+@query("S6_read_labels_two_reader", _AGREED)
 def _(spark, sf):
     root = scratch_path(spark, "sheets")
     d = V.readers(spark, sf)
@@ -98,6 +102,24 @@ def _(spark, sf):
     return R.read_labels_two_reader(spark, f"{root}/a", f"{root}/b").select(F.col("photo").cast("long").alias("photo"), "site", "class")
 
 
+@query("S6_workbook_labels", _AGREED)
+def _(spark, sf):
+    root = scratch_path(spark, "workbooks")
+    d = V.readers(spark, sf).withColumn("part", F.floor(F.col("pair") / 500))
+    sides = []
+    for r, sheet in zip("ab", X.SHEETS):
+        other = "a_l" if r == "a" else "b_r"
+        values = {"n": F.col("pair").cast("string"), "usable": F.when(F.col(f"usable_{r}"), "yes").otherwise("no"), "LUE_class": F.col(f"{r}_l"), "RUE_class": F.col(f"{r}_r"), "LLE_class": F.col(f"{r}_r"), "RLE_class": F.col(other)}
+        sides.append(d.select("part", F.lit(sheet).alias("sheet"), F.col("pair").cast("long").alias("at"), F.array(*[values.get(c, F.lit("x")) for c in X.HEADERS]).alias("cells")))
+        sides.append(d.select("part").distinct().select("part", F.lit(sheet).alias("sheet"), F.lit(-1).cast("long").alias("at"), F.array(*[F.lit(h) for h in X.HEADERS.values()]).alias("cells")))
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    X.write_workbooks(rows, root)
+    agreed, _ = X.read_workbook_labels(spark, root)
+    return agreed.select(F.col("photo").cast("long").alias("photo"), "site", "class")
+
+
 @query("S8_read_manifest", "SELECT name, sha FROM v_lock")
 def _(spark, sf):
     path = scratch_path(spark, "manifest")

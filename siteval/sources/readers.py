@@ -60,15 +60,19 @@ def _document(spark: SparkSession, path) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path, kind: str, rule: str = "0.10") -> DataFrame:
-    """Labels as (id, site, y); y is NULL where the label is not a class. Kinds: document, csv, sheets, sidecars."""
+    """Labels as (id, site, y); y is NULL where the label is not a class. Kinds: document, csv, sheets, workbook, sidecars."""
     if kind == "document":
         return from_predictions(_document(spark, path)).select(stem(F.col("image_id")).alias("id"), "site", "y")
     if kind == "csv":
         rows = spark.read.schema(S.LABEL_ROWS).option("header", True).csv(path)
         return rows.select(stem(F.col("image_id")).alias("id"), "site", class_index(F.col("class")).alias("y"))
-    if kind == "sheets":
-        a, b = path
-        return read_labels_two_reader(spark, a, b).select(F.concat(F.lit("T5_"), F.lpad(F.col("photo").cast("string"), 3, "0")).alias("id"), "site", class_index(F.col("class")).alias("y"))
+    if kind in ("sheets", "workbook"):
+        if kind == "sheets":
+            agreed = read_labels_two_reader(spark, *path)
+        else:
+            from siteval.sources.workbook import read_workbook_labels
+            agreed, _ = read_workbook_labels(spark, path)
+        return agreed.select(F.concat(F.lit("T5_"), F.lpad(F.col("photo").cast("string"), 3, "0")).alias("id"), "site", class_index(F.col("class")).alias("y"))
     if kind == "sidecars":
         return sidecar_labels(read_sidecars(spark, path, recursive=True), rule)
     raise ValueError(f"unknown label kind {kind!r}")
