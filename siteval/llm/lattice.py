@@ -57,6 +57,7 @@ def decode(x: np.ndarray) -> np.ndarray:
 def _unit(column) -> np.ndarray:
     n = len(column)
     x = np.asarray(column.values)[: len(column.values)].reshape(n, -1) if n else np.zeros((0, 1))
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # an exact scaling, so that no square leaves the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
