@@ -17,6 +17,7 @@ _SLACK = 1e-6
 
 def _unit(vectors) -> np.ndarray:
     m = np.asarray(vectors.tolist(), dtype=np.float64)
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])  # an exact scaling, so that no square leaves the range of doubles
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
