@@ -210,16 +210,16 @@ def _(spark, sf):
     return I.source_hash(V.manifest_lock(spark, sf))
 
 
-@query("J14_compare_runs", """SELECT count(*) AS sites, count(*) FILTER (d > 2 OR e > 0.02) AS differ, CAST(count(*) FILTER (pred_a=pred_b) AS DOUBLE)/count(*) AS class_agree, max(m) AS max_dprob,
+@query("J14_compare_runs", """SELECT *, class_agree >= 0.97 AND differ <= sites * 0.05 AS ok FROM (SELECT count(*) AS sites, count(*) FILTER (d > 2 OR e > 0.02) AS differ, CAST(count(*) FILTER (pred_a=pred_b) AS DOUBLE)/count(*) AS class_agree, max(m) AS max_dprob,
     CAST(count(*) FILTER (scene%50<>0) AS DOUBLE)/count(*) AS facing_agree FROM (SELECT *, greatest(abs(r_vis-t_vis), abs(r_wound-t_wound), abs(r_stump-t_stump)) AS d,
-    CASE WHEN r_vis>=30 AND t_vis>=30 THEN 0.0 ELSE 0.0 END AS e, greatest(abs(p0-q0),abs(p1-q1),abs(p2-q2),abs(p3-q3)) AS m FROM v_raw)""")
+    CASE WHEN r_vis>=30 AND t_vis>=30 THEN greatest(abs(p0/(p0+p2+p3)-q0/(q0+q2+q3)), abs(p2/(p0+p2+p3)-q2/(q0+q2+q3)), abs(p3/(p0+p2+p3)-q3/(q0+q2+q3))) ELSE 0.0 END AS e, greatest(abs(p0-q0),abs(p1-q1),abs(p2-q2),abs(p3-q3)) AS m FROM v_raw))""")
 def _(spark, sf):
     s = V.raw_sites(spark, sf)
     px = ["vis_px", "wound_px", "stump_px"]
     ref = s.select("scene", "site", "raw.vis_px", "raw.wound_px", "raw.stump_px", "p", "raw.p_end", "facing")
-    var = s.select("scene", "site", "vis_px", "wound_px", "stump_px", F.col("q").alias("p"), F.expr("CASE WHEN vis_px >= 30 THEN array(p0/(p0+p2+p3), p2/(p0+p2+p3), p3/(p0+p2+p3)) END").alias("p_end"),
+    var = s.select("scene", "site", "vis_px", "wound_px", "stump_px", F.col("q").alias("p"), F.expr("CASE WHEN vis_px >= 30 THEN array(q0/(q0+q2+q3), q2/(q0+q2+q3), q3/(q0+q2+q3)) END").alias("p_end"),
                    F.expr("CASE WHEN scene%50=0 THEN NULL ELSE facing END").alias("facing"))
-    return J.compare_runs(ref, var, px).drop("ok")
+    return J.compare_runs(ref, var, px)
 
 
 @query("J15_nearest_neighbor", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, round(max(c), 6) AS best FROM (

@@ -151,10 +151,10 @@ def _(spark, sf):
 
 
 @query("S13_export_keypoints", """SELECT scene, CAST(count(*) FILTER (vis) AS INT) AS num_keypoints, CAST(max(CASE WHEN i=1 AND vis THEN i*37+px%300 ELSE 0 END) AS DOUBLE) AS lue_shoulder_x, 399 AS "length" FROM (
-    SELECT scene, px, i, true AS vis FROM v_sites CROSS JOIN range(1,13) AS r(i) WHERE k=1 AND px%9<>0 AND (px+i)%5<>0) GROUP BY ALL""")
+    SELECT scene, px, i, true AS vis FROM v_sites CROSS JOIN range(1,13) AS r(i) WHERE k=1 AND (px+i)%5<>0) GROUP BY ALL""")
 def _(spark, sf):
     col = re.sub(r"\(px \+ (\d+)\) % 4 <> 0\)", r"(px + \1) % 4 <> 0, 'exists', true, 'in_frame', (px + \1) % 5 <> 0)", joints_column())
-    d = V.sites(spark, sf).filter("k = 1 AND px % 9 <> 0").selectExpr("scene", f"{col} AS sites")
+    d = V.sites(spark, sf).filter("k = 1").selectExpr("scene", f"{col} AS sites")
     out = W.export_keypoints(d, "scene")
     return out.filter("num_keypoints > 0").select("scene", "num_keypoints", F.col("keypoints")[15].alias("lue_shoulder_x"), F.size("keypoints").alias("length"))
 
