@@ -364,3 +364,24 @@ def test_predictions_are_validated_before_the_write(spark, tmp_path):
     with pytest.raises(ValueError, match="injury_type: 1 images, first a; site count"):
         write_predictions(bad, str(tmp_path / "out"), "team", "a@b", "1")
     assert not os.path.exists(tmp_path / "out")
+
+
+def test_curvature_comes_from_a_bounded_part_of_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(3000, 4))
+    y = (X @ rng.normal(size=(4, 4)) + rng.gumbel(size=(3000, 4))).argmax(1)
+    rows = [([float(v) for v in x], int(c), i % 3, False) for i, (x, c) in enumerate(zip(X, y))]
+    df = spark.createDataFrame(rows, "x array<double>, y int, fold int, src boolean").repartition(4).persist()
+    monkeypatch.setattr(multifit, "_SHAPE_ROWS", 1000)
+    real, whole = multifit._pass, []
+
+    def spied(table, n, partitions, problems, asked, mean, scale):
+        if table is df:
+            whole.extend(curved for _, curved in asked.values())
+        return real(table, n, partitions, problems, asked, mean, scale)
+
+    monkeypatch.setattr(multifit, "_pass", spied)
+    got = multifit.fit_many(df, {f: multifit.Fit(0.3, f) for f in (0, 1, 2, None)}, 4)
+    assert whole and not any(whole) and all(m.gradient <= multifit.GRADIENT for m in got.values())
+    one = layer.fit_layer(df, 0.3, n=4, max_iter=500, tol=1e-12)
+    assert np.allclose(got[None].coef, one.coef, atol=2e-3)
