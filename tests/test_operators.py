@@ -385,3 +385,26 @@ def test_curvature_comes_from_a_bounded_part_of_the_rows(spark, monkeypatch):
     assert whole and not any(whole) and all(m.gradient <= multifit.GRADIENT for m in got.values())
     one = layer.fit_layer(df, 0.3, n=4, max_iter=500, tol=1e-12)
     assert np.allclose(got[None].coef, one.coef, atol=2e-3)
+
+
+def test_prediction_plans_do_not_grow_with_the_features(spark):
+    rng = np.random.default_rng(9)
+
+    def table(n):
+        rows = [(f, None if f == 4 else [float(v) for v in rng.normal(size=n)]) for f in (0, 1, 2, 3, 4, None) for _ in range(3)]
+        layers = {f: layer.Layer(rng.normal(size=n).tolist(), [2.0] * n, rng.normal(size=(4, n)).tolist(), [0.0, 0.1, -0.2, -np.inf], 0.1) for f in (0, 1, 2, 4)}
+        return spark.createDataFrame(rows, "fold int, x array<double>"), layers
+
+    sizes = []
+    for n in (3, 27):
+        d, layers = table(n)
+        out = layer.predict_by_fold(d, layers)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        for r in out.collect():
+            if r["fold"] not in (0, 1, 2):
+                assert r["p"] is None
+            else:
+                m = layers[r["fold"]]
+                e = np.exp((np.array(r["x"]) - m.mean) / 2 @ np.array(m.coef).T + m.intercept)
+                assert np.allclose(r["p"], e / e.sum())
+    assert sizes[1] < 1.2 * sizes[0]
