@@ -10,7 +10,7 @@ from siteval.functions import probs as P
 from siteval.functions.labels import class_name
 from siteval.functions.text import encounter_id
 from siteval.operators.documents import body_of
-from siteval.runtime import case, lookup
+from siteval.runtime import bound, case, lookup
 
 
 def view_of(facing: Column) -> Column:
@@ -88,12 +88,20 @@ def as_log(events: DataFrame) -> DataFrame:
 
 
 def break_ties(p: Column, pred: Column, bump: float = 1e-6) -> Column:
-    """Nudge the predicted class up where it ties for the maximum, then renormalise."""
-    top = F.greatest(*[p[i] for i in range(4)])
-    tied = (F.aggregate(F.filter(p, lambda v: v == top), F.lit(0), lambda a, _: a + 1) > 1) & (F.element_at(p, pred + 1) == top)
-    moved = F.transform(p, lambda v, i: F.when(tied & (i == pred), v + bump).otherwise(v))
-    total = F.aggregate(moved, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(moved, lambda v: v / total)
+    """Nudge the predicted class up where it ties for the maximum, then renormalise.
+
+    Vector, maximum, tie, moved vector and total are each bound to a name: written out inside the functions over the elements they
+    would be worked out anew for every element, and the next step for every element of that."""
+    def tied(p, top):
+        return (F.aggregate(F.filter(p, lambda v: v == top), F.lit(0), lambda a, _: a + 1) > 1) & (F.element_at(p, pred + 1) == top)
+
+    def moved(p, tie):
+        return F.transform(p, lambda v, i: F.when(tie & (i == pred), v + bump).otherwise(v))
+
+    def shares(moved):
+        return bound(F.aggregate(moved, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(moved, lambda v: v / total))
+
+    return bound(p, lambda p: bound(F.greatest(*[p[i] for i in range(4)]), lambda top: bound(tied(p, top), lambda tie: bound(moved(p, tie), shares))))
 
 
 def round_trip_check(rows: DataFrame, key: str = "scene") -> DataFrame:
