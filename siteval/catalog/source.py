@@ -41,8 +41,8 @@ def _(spark, sf):
     r = records(spark, sf).join(_names(spark, sf), "scene")
     r = r.select(F.col("scene").cast("string").alias("scene"), "split", F.create_map(F.lit("0.10"), F.col("m")).alias("labels"), F.transform_values("sites", lambda _, v: v["raw"]).alias("sites"))
     stale = r.withColumn("split", F.lit("stale"))
-    stale.write.json(f"{root}/a")
-    r.write.json(f"{root}/b")
+    stale.write.option("compression", "gzip").json(f"{root}/a")
+    r.write.option("compression", "gzip").json(f"{root}/b")
     d = R.read_records(spark, [f"{root}/a", f"{root}/b"])
     d = d.filter("split <> 'stale'").select("scene", "labels", F.explode("sites").alias("site", "m"))
     return d.select("scene", "site", "m.vis_px", F.col("labels")["0.10"][F.col("site")].alias("label"))
@@ -62,7 +62,7 @@ def _(spark, sf):
     kp = "named_struct('xy', array(array({v}D, 0D)), 'score', array(0.5D))"
     r = records(spark, sf).select(F.col("scene").cast("string").alias("scene"), "split", F.expr(f"CASE WHEN scene%2=0 THEN {kp.format(v='1')} END").alias("kp"),
                                   F.transform_values("sites", lambda _, v: v["raw"]).alias("pred_sites_ceil"), F.transform_values("sites", lambda _, v: v["raw_true"]).alias("gt_sites_ceil"))
-    r.write.json(path)
+    r.write.option("compression", "gzip").json(path)
     backfill = r.select("scene", F.expr(kp.format(v="2")).alias("kp"))
     d = R.read_checks(spark, path, "gt", "dev", backfill)
     return d.select("scene", F.explode("sites").alias("site", "m"), F.col("kp.xy")[0][0].alias("kp")).select("scene", "site", "m.vis_px", "kp")
