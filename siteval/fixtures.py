@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteval.runtime import compiled_parts
+
 _SITE_ROWS = ((1, "LUE", 2), (2, "RUE", 1), (3, "LLE", 4), (4, "RLE", 3))
 
 
@@ -85,6 +87,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _site_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled_parts(spark)
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("site"), F.lit(m).alias("mk")) for k, s, m in _SITE_ROWS])
     orders = table(spark, sf_dir, "orders").withColumn("_s", F.explode(rows)).selectExpr("*", "_s.k", "_s.site", "_s.mk")
     return _select(orders.selectExpr(*[f"{e} AS {c}" for c, e in _BASE]), _SITES)

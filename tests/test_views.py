@@ -9,3 +9,16 @@ def test_record_view_is_derived_once_whatever_a_filter_names(spark):
     d = V.raw_sites(spark, SF).filter("pred_a <> y AND raw.limb.term_peak < 0.9 AND raw.vis_px >= 30 AND coalesce(raw_true.stump_px, 0) < 300")
     assert d._jdf.queryExecution().optimizedPlan().toString().count("% 20)") <= 4
 
+
+def test_long_stages_are_compiled_in_parts(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        V.sites(spark, SF)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "20000")
+        V.sites(spark, SF)
+        assert spark.conf.get(key) == "20000"
+    finally:
+        spark.conf.set(key, before)
