@@ -24,3 +24,10 @@ def test_no_task_sorts_a_group_of_quantiles(spark):
     assert {r.g: (r.n, r.m) for r in d.collect()} == {"a": (501, 500.0), None: (500, 500.0)}
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_chain_length_reads_its_keypoints_once(spark):
+    d = spark.createDataFrame([(3,), (0,)], "n int").select("n", chain_length(_xy(), "LUE").alias("length"))
+    a, b, c = KEYPOINTS["LUE"]
+    assert {r.n: r.length for r in d.collect()} == {3: 3.0 * (abs(a - b) + abs(b - c)), 0: 0.0}
+    assert _times(d, "sequence(") == 1
