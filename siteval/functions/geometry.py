@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteval.constants import JOINTS, KEYPOINTS, MIRROR
+from siteval.runtime import bound
 
 
 def _dist(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
-def _median3(values: Column) -> Column:
-    """Median of a short array (at most three entries)."""
-    v = F.array_sort(values)
+def _median3(v: Column) -> Column:
+    """Median of a short sorted array (at most three entries)."""
     n = F.size(v)
     return F.when(n == 3, v[1]).when(n == 2, (v[0] + v[1]) / 2).when(n == 1, v[0])
 
@@ -29,20 +29,24 @@ def torso_length(sites: Column) -> Column:
 
 
 def kp_error(xy: Column, score: Column, joints: Column, site: str, min_score: float = 0.3) -> Column:
-    """Keypoint error of one site: struct(err_torso, n_joints, side_swap); NULL when it cannot be measured."""
-    own, opposite = [], []
-    for idx, joint in zip(KEYPOINTS[site], JOINTS[site[1:]]):
-        a, b = joints[site][joint], joints[MIRROR[site]][joint]
-        use = a.isNotNull() & a["visible"] & (score[idx] >= min_score)
-        own.append(F.when(use, _dist(xy[idx][0], xy[idx][1], a["x"], a["y"])))
-        far = F.when(b.isNotNull(), _dist(xy[idx][0], xy[idx][1], b["x"], b["y"])).otherwise(F.lit(float("inf")))
-        opposite.append(F.when(use, far))
-    own_errors, opposite_errors = F.array_compact(F.array(*own)), F.array_compact(F.array(*opposite))
-    torso = torso_length(joints)
-    err = _median3(own_errors) / F.greatest(torso, F.lit(1.0))
-    return F.when(torso.isNotNull() & (F.size(own_errors) > 0), F.struct(
-        err.alias("err_torso"), F.size(own_errors).alias("n_joints"),
-        (_median3(opposite_errors) < _median3(own_errors)).alias("side_swap")))
+    """Keypoint error of one site: struct(err_torso, n_joints, side_swap); NULL when it cannot be measured. Inputs, errors and torso are each
+    worked out once per row."""
+    def errors(xy, score, joints):
+        own, opposite = [], []
+        for idx, joint in zip(KEYPOINTS[site], JOINTS[site[1:]]):
+            a, b = joints[site][joint], joints[MIRROR[site]][joint]
+            use = a.isNotNull() & a["visible"] & (score[idx] >= min_score)
+            own.append(F.when(use, _dist(xy[idx][0], xy[idx][1], a["x"], a["y"])))
+            far = F.when(b.isNotNull(), _dist(xy[idx][0], xy[idx][1], b["x"], b["y"])).otherwise(F.lit(float("inf")))
+            opposite.append(F.when(use, far))
+        return F.struct(F.array_sort(F.array_compact(F.array(*own))).alias("own"), F.array_sort(F.array_compact(F.array(*opposite))).alias("opposite"), torso_length(joints).alias("torso"))
+
+    def judged(e):
+        err = _median3(e["own"]) / F.greatest(e["torso"], F.lit(1.0))
+        return F.when(e["torso"].isNotNull() & (F.size(e["own"]) > 0), F.struct(
+            err.alias("err_torso"), F.size(e["own"]).alias("n_joints"), (_median3(e["opposite"]) < _median3(e["own"])).alias("side_swap")))
+
+    return bound(F.struct(xy.alias("xy"), score.alias("score"), joints.alias("joints")), lambda v: bound(errors(v["xy"], v["score"], v["joints"]), judged))
 
 
 def joint_state(exists: Column, in_frame: Column, visible: Column) -> Column:

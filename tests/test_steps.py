@@ -31,3 +31,16 @@ def test_chain_length_reads_its_keypoints_once(spark):
     a, b, c = KEYPOINTS["LUE"]
     assert {r.n: r.length for r in d.collect()} == {3: 3.0 * (abs(a - b) + abs(b - c)), 0: 0.0}
     assert _times(d, "sequence(") == 1
+
+
+def test_kp_error_reads_its_inputs_once(spark):
+    def truth(site, dx):
+        points = [F.struct((F.lit(float(i * 30)) + dx).alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("visible")) for i in KEYPOINTS[site]]
+        return F.lit(site), F.create_map(*[v for joint, p in zip(JOINTS[site[1:]], points) for v in (F.lit(joint), p)])
+
+    joints = F.create_map(*[v for site in ("LUE", "RUE", "LLE", "RLE") for v in truth(site, F.lit(6.0))])
+    d = spark.createDataFrame([(30,), (0,)], "n int").select("n", kp_error(_xy(), F.transform(F.array(*[F.lit(1.0)] * 23), lambda v: v * F.col("n")), joints, "LUE").alias("e"))
+    got = {r.n: r.e for r in d.collect()}
+    torso = abs((KEYPOINTS["LUE"][0] + KEYPOINTS["RUE"][0]) / 2 - (KEYPOINTS["LLE"][0] + KEYPOINTS["RLE"][0]) / 2) * 30
+    assert abs(got[30].err_torso - 6.0 / torso) < 1e-12 and got[30].n_joints == 3 and not got[30].side_swap
+    assert got[0] is None and _times(d, "sequence(") == 1
