@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteval.constants import JOINTS, KEYPOINT_COUNT, KEYPOINTS
 from siteval.functions.geometry import joint_state
 from siteval.operators.documents import validate_predictions
-from siteval.runtime import lookup
+from siteval.runtime import bound, lookup
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:
@@ -62,13 +62,15 @@ def export_keypoints(joints: DataFrame, key: str = "scene_id") -> DataFrame:
     # Fixed values. Visibility code per state; only the first two are written with coordinates.
     code = {"visible": 2, "occluded": 1}
 
-    def triple(i):
-        hit = F.filter("_m", lambda e: (e["k"] == i) & e["state"].isin(*code))
-        e = F.get(hit, F.lit(0))
-        return F.when(F.size(hit) > 0, F.array(F.round(e["x"], 1), F.round(e["y"], 1), lookup(e["state"], code).cast("double"))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    def placed(v):
+        at = lambda i: F.get(v["triples"], F.array_position(v["keys"], i).cast("int") - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(KEYPOINT_COUNT - 1)), lambda i: F.coalesce(at(i), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))))
 
-    points = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(KEYPOINT_COUNT - 1)), triple))
-    found = F.size(F.filter("_m", lambda e: e["k"].isNotNull() & e["state"].isin(*code)))
+    shown = F.filter("_m", lambda e: e["k"].isNotNull() & e["state"].isin(*code))
+    points = bound(shown, lambda shown: bound(F.struct(
+        F.transform(shown, lambda e: e["k"]).alias("keys"),
+        F.transform(shown, lambda e: F.array(F.round(e["x"], 1), F.round(e["y"], 1), lookup(e["state"], code).cast("double"))).alias("triples")), placed))
+    found = F.size(shown)
     return d.select(key, points.alias("keypoints"), found.alias("num_keypoints"), F.map_from_entries(F.transform("_m", lambda e: F.struct(e["name"], e["state"]))).alias("native_states"))
 
 

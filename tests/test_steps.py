@@ -44,3 +44,15 @@ def test_kp_error_reads_its_inputs_once(spark):
     torso = abs((KEYPOINTS["LUE"][0] + KEYPOINTS["RUE"][0]) / 2 - (KEYPOINTS["LLE"][0] + KEYPOINTS["RLE"][0]) / 2) * 30
     assert abs(got[30].err_torso - 6.0 / torso) < 1e-12 and got[30].n_joints == 3 and not got[30].side_swap
     assert got[0] is None and _times(d, "sequence(") == 1
+
+
+def test_exported_keypoints_are_looked_up(spark):
+    point = F.struct(F.col("n").cast("double").alias("x"), F.lit(2.0).alias("y"), F.lit(True).alias("exists"), F.lit(True).alias("in_frame"), (F.col("n") > 4).alias("visible"))
+    sites = F.create_map(F.lit("LUE"), F.create_map(F.lit(JOINTS["UE"][0]), point, F.lit(JOINTS["UE"][1]), point.withField("exists", F.lit(False))))
+    d = export_keypoints(spark.createDataFrame([(3,), (5,)], "n int").select(F.col("n").alias("scene_id"), sites.alias("sites")))
+    for r in d.collect():
+        k = KEYPOINTS["LUE"][0]
+        want = [0.0] * len(r.keypoints)
+        want[3 * k : 3 * k + 3] = [float(r.scene_id), 2.0, 2.0 if r.scene_id > 4 else 1.0]
+        assert r.keypoints == want and r.num_keypoints == 1
+    assert _times(d, "filter(") <= 2
