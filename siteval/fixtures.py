@@ -94,12 +94,13 @@ def _site_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sealed(df: DataFrame, columns) -> DataFrame:
-    """Emit plain columns from a generator, so that expressions over them refer to their values instead of
-    being rewritten into copies of the whole derivation. Only the record view needs it: the plain site view is left open, so
-    what a query does not use is pruned down to the scan."""
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    """The columns, each derived one behind a condition that always holds and that the optimizer takes for a different one in every row. So expressions over
+    a column refer to its value instead of being rewritten into copies of the whole derivation, and a column that a query does not use
+    is still pruned down to the scan. Only the record view needs it: the plain site view is left open."""
+    return df.select(*[c if c in _PLAIN else F.when(F.monotonically_increasing_id() >= 0, F.col(c)).alias(c) for c in columns])
 
 
+_PLAIN = ("scene", "site", "k", "mk", "split", "position", "facing", "grp", "px")
 _MEASURES = [f"{m}_{c}" for m in "rst" for c in ("vis", "wound", "stump")] + ["lfrac", "bg", "ext_px", "tq_px", "torso", "e_bg", "e_occ", "e_torso", "e_other", "e_edge", "amodal", "psum", "vom", "cause", "has_side", "has_true"]
 
 

@@ -22,3 +22,8 @@ def test_long_stages_are_compiled_in_parts(spark):
         assert spark.conf.get(key) == "20000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_record_view_reads_only_what_a_query_uses(spark):
+    plan = V.raw_sites(spark, SF).select("scene", "split").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderkey" in plan and "o_totalprice" not in plan and "o_custkey" not in plan
