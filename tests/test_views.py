@@ -27,3 +27,12 @@ def test_long_stages_are_compiled_in_parts(spark):
 def test_record_view_reads_only_what_a_query_uses(spark):
     plan = V.raw_sites(spark, SF).select("scene", "split").distinct()._jdf.queryExecution().executedPlan().toString()
     assert "o_orderkey" in plan and "o_totalprice" not in plan and "o_custkey" not in plan
+
+
+def test_fits_read_a_written_design(spark):
+    from siteval.catalog.fitting import design
+
+    d = design(spark, SF)
+    plan = d.filter("split = 'dev'").select("x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "% 20)" not in plan
+    assert d.count() == V.sites(spark, SF).count()
