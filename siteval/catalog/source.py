@@ -51,7 +51,7 @@ def _(spark, sf):
 @query("S3_read_engine_rows", "SELECT scene || '_v1' AS id, site, r_vis AS vis_px FROM v_raw WHERE scene%5<>0")
 def _(spark, sf):
     path = scratch_path(spark, "rows")
-    r = records(spark, sf).select(F.concat(F.col("scene").cast("string"), F.lit("_v1.jpg")).alias("image_id"), F.when(F.col("scene") % 5 != 0, F.transform_values("sites", lambda _, v: v["raw"])).alias("sites"))
+    r = records(spark, sf, ["raw"]).select(F.concat(F.col("scene").cast("string"), F.lit("_v1.jpg")).alias("image_id"), F.when(F.col("scene") % 5 != 0, F.transform_values("sites", lambda _, v: v["raw"])).alias("sites"))
     r.write.option("compression", "gzip").json(path)
     return R.read_engine_rows(spark, path).select("id", F.explode("sites").alias("site", "m")).select("id", "site", "m.vis_px")
 
@@ -178,7 +178,7 @@ def _(spark, sf):
 
 @query("S17_checks_to_records", "SELECT scene, site, r_vis AS vis_px, CASE y WHEN 0 THEN 'no_injury' WHEN 1 THEN 'wound' WHEN 2 THEN 'amputation' ELSE 'not_testable' END AS label FROM v_raw WHERE split='dev'")
 def _(spark, sf):
-    checks = records(spark, sf).select("scene", "split", F.transform_values("sites", lambda _, v: v["raw"]).alias("pred_sites_ceil"))
+    checks = records(spark, sf, ["raw"]).select("scene", "split", F.transform_values("sites", lambda _, v: v["raw"]).alias("pred_sites_ceil"))
     cars = _names(spark, sf).select(F.col("scene").alias("scene_id"), F.create_map(F.lit("0.10"), F.col("m")).alias("labels_by_threshold"))
     r = O.checks_to_records(checks, cars, "dev")
     return O.explode_sites(r).select("scene", "site", "sites.vis_px", F.col("labels")["0.10"].alias("label"))

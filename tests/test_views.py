@@ -36,3 +36,11 @@ def test_fits_read_a_written_design(spark):
     plan = d.filter("split = 'dev'").select("x", "y")._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan and "% 20)" not in plan
     assert d.count() == V.sites(spark, SF).count()
+
+
+def test_records_nest_only_the_fields_a_query_uses(spark):
+    from siteval.catalog import QUERIES, load
+
+    load()
+    plan = QUERIES["S17_checks_to_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw" in plan and "has_true" not in plan
