@@ -84,3 +84,21 @@ def test_query_equals_brute_force(spark):
     for d in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
         assert tuple(got[d.doc_id][:5]) == row(d.doc_id, d.text)
         assert [s for s in got[d.doc_id].spans.split(",") if s and not s.startswith(secrets.ADDED)] == brute(d.text)
+
+
+def test_every_window_trains_or_calibrates(spark, monkeypatch):
+    docs = spark.createDataFrame(planted(3000), "doc_id long, text string")
+    windows = {(rule, secrets.windows(t, lo, hi)[0].tobytes()) for _, t in planted(3000) for lo, hi, rule in secrets.candidates(t, secrets.rule_spans(t))}
+    seen = []
+    fit, calibrate = secrets.fit, secrets.calibrate
+    monkeypatch.setattr(secrets, "fit", lambda w, *a: (seen.append((w.count(), w.select("seen").distinct().count(), a[2])), fit(w, *a))[1])
+    monkeypatch.setattr(secrets, "calibrate", lambda net, w, *a: (seen.append((w.count(), sum(a[0]))), calibrate(net, w, *a))[1])
+    monkeypatch.setattr(secrets, "SHARD", 500)
+    net = secrets.train(docs)
+    (trained, different, shards), (held, counted) = seen
+    assert trained == different and trained + held == len(windows) > 3000 and held == counted and shards > 3
+    # thresholds keep the recall over all held windows of a kind
+    rows = secrets.labelled(docs).filter("held AND kind >= 0").collect()
+    for k, kind in enumerate(net.kinds):
+        _, p = net.judge(np.array([np.frombuffer(bytes(r.seen), np.uint8) for r in rows if r.kind == kind]))
+        assert np.mean(p >= net.thresholds[k] - 1e-6) >= secrets.RECALL
